@@ -1,0 +1,86 @@
+"""Reading the project's tables, and scratch tables that outlive executors."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One parquet table of the data directory; only the columns used later are read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own.
+
+    The own folder is only made where the cluster names none, which is the case of local tests.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    ctx = spark.sparkContext
+    own = getattr(ctx, "_tallyweave_dir", None)
+    if own is None:
+        own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+        ctx._tallyweave_dir = own
+        ctx.setCheckpointDir(own)
+        atexit.register(_remove_local, own)
+    return own
+
+
+def _remove_local(url: str) -> None:
+    import shutil
+
+    shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
+
+
+class Scratch:
+    """Intermediate tables written to the shared folder.
+
+    Writing cuts the lineage for good: a lost executor costs only the tasks in flight, because the
+    finished table is files that every other executor can read.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/tallyweave/{label}-{uuid.uuid4().hex[:12]}"
+        self._n = 0
+
+    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write ``df`` and return the table read back."""
+        self._n += 1
+        path = f"{self.root}/{self._n:03d}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._tallyweave_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete scratch tables that no later step reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for t in tables:
+            path = getattr(t, "_tallyweave_path", None)
+            if path:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+
+
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, row_key, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``lookup`` (unique on ``keys``) although one key may hold a third of the rows.
+
+    ``weight`` is a column of ``lookup`` with the exact number of rows of its key. A key above
+    ``per_task`` rows is spread over ``weight / per_task`` salts; there are at most
+    ``total / per_task`` <= 20,000 such keys, so the list of them is small enough to broadcast at
+    every size. ``weight`` is dropped from the result. Null keys match nothing.
+    """
+    per_task = max(100_000, total // 20_000)
+    salts = lookup.filter(F.col(weight) > per_task).select(*keys, F.ceil(F.col(weight) / per_task).cast("int").alias("_salts"))
+    left = rows.join(F.broadcast(salts), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    many = F.ceil(F.col(weight) / per_task).cast("int")
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(many > 1, many - 1).otherwise(0)))).drop(weight)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
