@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweave.operators.copy_diff import CopyPair, copy_differences
-from tallyweave.sources.tables import table
+from tallyweave.operators.late_events import combine, partials, with_fate
+from tallyweave.sources.tables import Scratch, table
 
 CANONICAL_FIELDS = {"source_record_id": "text", "occurred_at": "instant", "amount": "decimal", "currency": "text", "direction": "text", "account_reference": "text", "transaction_reference": "text", "description": "text"}
 RECONCILIATION_FIELDS = {"source_a_record_id": "text", "source_b_record_id": "text", "state": "text", "outcome": "text"}
@@ -20,3 +22,66 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             CopyPair("reconciliations", t("reconciliations"), t("reconciliations_restored"), "reconciliation_id", RECONCILIATION_FIELDS, "copied_at", "is_deleted"),
         ],
     )
+
+
+def _p2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current transactions with arrival, day and fate."""
+    can = table(spark, sf_dir, "canonical_transactions").select("canonical_id", "source_id", "raw_record_id", "occurred_at", "amount", "supersedes_canonical_id")
+    arrivals = table(spark, sf_dir, "raw_records").groupBy("raw_record_id").agg(F.min("accepted_at").alias("arrived"))
+    superseded = can.filter(F.col("supersedes_canonical_id").isNotNull()).select(F.col("supersedes_canonical_id").alias("canonical_id")).distinct()
+    current = can.drop("supersedes_canonical_id").dropDuplicates(["canonical_id"]).join(superseded, "canonical_id", "left_anti")
+    return with_fate(current.join(arrivals, "raw_record_id", "left"), "occurred_at", "arrived")
+
+
+def _rec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["reconciliation_id", "source_a_record_id", "source_b_record_id", "outcome", "supersedes_reconciliation_id"]
+    return table(spark, sf_dir, "reconciliations").select(*cols).dropDuplicates(["reconciliation_id"])
+
+
+def _links(rec: DataFrame) -> DataFrame:
+    return rec.select("reconciliation_id", F.explode(F.array_distinct(F.filter(F.array("source_a_record_id", "source_b_record_id"), lambda x: x.isNotNull()))).alias("canonical_id"))
+
+
+def _corrections(rec: DataFrame, events: DataFrame) -> DataFrame:
+    """reconciliation_id of rows superseded by one that brings in a late transaction and no dropped one."""
+    fates = events.filter(F.col("fate").isin("late", "dropped")).select("canonical_id", "fate")
+    new = rec.filter(F.col("supersedes_reconciliation_id").isNotNull())
+    named = _links(new.select("reconciliation_id", "source_a_record_id", "source_b_record_id")).join(fates, "canonical_id")
+    of = named.groupBy("reconciliation_id").agg(F.collect_set(F.when(F.col("fate") == "late", F.col("canonical_id"))).alias("late"), F.max((F.col("fate") == "dropped").cast("int")).alias("dropped"))
+    pairs = new.join(of.filter("dropped = 0"), "reconciliation_id").select(F.col("supersedes_reconciliation_id").alias("reconciliation_id"), "late")
+    old = rec.select("reconciliation_id", F.array("source_a_record_id", "source_b_record_id").alias("had"))
+    return old.join(pairs, "reconciliation_id").filter(F.size(F.array_except("late", "had")) > 0).select("reconciliation_id").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = Scratch(spark, "late").put(_p2_events(spark, sf_dir).filter(F.col("fate").isin("late", "dropped")).select("canonical_id", "fate"), "fates")
+    corrected = _corrections(_rec(spark, sf_dir), events).select(F.col("reconciliation_id").alias("record_key"), F.lit("corrected").alias("fate"))
+    return events.select(F.col("canonical_id").alias("record_key"), "fate").unionByName(corrected)
+
+
+OUTCOMES = ("MATCHED", "MISMATCHED", "UNMATCHED_A", "UNMATCHED_B", "AMBIGUOUS", "DUPLICATE")
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source and day: counts and sums as published, corrected and dropped, and outcome counts.
+
+    The published outcomes are those of reconciliations that no row supersedes or that were
+    superseded by a correction only; the corrected ones are those of the current rows.
+    """
+    scratch = Scratch(spark, "daily")
+    events = scratch.put(_p2_events(spark, sf_dir).select("canonical_id", "source_id", "amount", "day", "slot", "fate"), "events")
+    rec = _rec(spark, sf_dir)
+    corrected = _corrections(rec, events).withColumn("was_corrected", F.lit(True))
+    superseded = rec.filter(F.col("supersedes_reconciliation_id").isNotNull()).select(F.col("supersedes_reconciliation_id").alias("reconciliation_id"), F.lit(True).alias("superseded")).distinct()
+    state = rec.join(superseded, "reconciliation_id", "left").join(corrected, "reconciliation_id", "left").filter("superseded is null or was_corrected")
+    links = _links(state).join(state.select("reconciliation_id", "outcome", F.col("superseded").isNull().alias("current")), "reconciliation_id")
+    per = links.groupBy("canonical_id").agg(
+        F.max(F.when(F.col("current"), F.struct("reconciliation_id", "outcome")))["outcome"].alias("outcome_now"),
+        F.max(F.struct(~F.col("current"), "reconciliation_id", "outcome"))["outcome"].alias("outcome_then"),
+    )
+    known = events.join(per, "canonical_id", "left")
+    sums = {"amount": F.col("amount")} | {o.lower(): F.when(F.col("outcome_now") == o, 1).otherwise(0) for o in OUTCOMES} | {f"first_{o.lower()}": F.when((F.col("fate") == "on_time") & (F.col("outcome_then") == o), 1).otherwise(0) for o in OUTCOMES}
+    daily = combine(partials(known, ["source_id"], sums), ["source_id"], list(sums))
+    keep = {"source_id": "source_id", "day": "day", "n_published": "n_published", "n_corrected": "n_corrected", "n_dropped": "n_dropped", "amount_published": "amount_published", "amount_corrected": "amount_corrected", "amount_dropped": "amount_dropped"}
+    keep |= {f"first_{o.lower()}_published": f"{o.lower()}_published" for o in OUTCOMES} | {f"{o.lower()}_corrected": f"{o.lower()}_corrected" for o in OUTCOMES}
+    return daily.select(*[F.col(k).alias(v) for k, v in keep.items()])
