@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.operators.copy_diff import CopyPair, copy_differences
+from tallyweave.functions.text import strip
+from tallyweave.operators.instant_dictionary import InstantDictionary
 from tallyweave.operators.late_events import combine, partials, with_fate
 from tallyweave.sources.tables import Scratch, table
 
@@ -85,3 +87,22 @@ def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = {"source_id": "source_id", "day": "day", "n_published": "n_published", "n_corrected": "n_corrected", "n_dropped": "n_dropped", "amount_published": "amount_published", "amount_corrected": "amount_corrected", "amount_dropped": "amount_dropped"}
     keep |= {f"first_{o.lower()}_published": f"{o.lower()}_published" for o in OUTCOMES} | {f"{o.lower()}_corrected": f"{o.lower()}_corrected" for o in OUTCOMES}
     return daily.select(*[F.col(k).alias(v) for k, v in keep.items()])
+
+
+def pending_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_record_id, value, zone, locale of the raw records that no canonical transaction names."""
+    raw = table(spark, sf_dir, "raw_records").filter(F.col("raw_record_id").isNotNull())
+    whole = strip(F.col("payload")).endswith("}")
+    fields = F.from_json("payload", "map<string,string>")
+    value = F.when(whole & (F.col("schema_version") == "source_a.v1"), fields["occurred_at"]).when(whole & (F.col("schema_version") == "source_b.v1"), fields["posted"])
+    one = raw.select("raw_record_id", "source_id", value.alias("value")).groupBy("raw_record_id").agg(F.min(F.struct("source_id", "value")).alias("r"))
+    named = table(spark, sf_dir, "canonical_transactions").select("raw_record_id").filter(F.col("raw_record_id").isNotNull()).distinct()
+    zones = table(spark, sf_dir, "sources").select("source_id", F.col("time_zone").alias("zone"), "locale").dropDuplicates(["source_id"])
+    return one.join(named, "raw_record_id", "left_anti").select("raw_record_id", "r.*").join(zones, "source_id", "left").drop("source_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "instants")
+    rows = scratch.put(pending_values(spark, sf_dir).filter(F.col("value").isNotNull()), "pending")
+    done = InstantDictionary(spark, f"{scratch.root}/dictionary").normalise(rows, "raw_record_id", "value", "zone", "locale")
+    return done.select("raw_record_id", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros("micros").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at_utc"))
