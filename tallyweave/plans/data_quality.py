@@ -106,3 +106,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scratch.put(pending_values(spark, sf_dir).filter(F.col("value").isNotNull()), "pending")
     done = InstantDictionary(spark, f"{scratch.root}/dictionary").normalise(rows, "raw_record_id", "value", "zone", "locale")
     return done.select("raw_record_id", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros("micros").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at_utc"))
+
+
+def queries() -> dict:
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_daily": p2_daily, "p4_found": p4_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
