@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.link_groups import link_groups
+from tallyweave.llm.merge_replay import encode_corpus, token_counts
+from tallyweave.llm.mixing import mix_sources
 from tallyweave.llm.nearest_time import match_nearest
 from tallyweave.sources.tables import Scratch, table
 
@@ -32,8 +34,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(spark, links, "source_a_canonical_id", "source_b_canonical_id").withColumnRenamed("id", "canonical_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(spark, table(spark, sf_dir, "documents"))
+
+
+def _mix(spark: SparkSession, sf_dir: str, strict: bool) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = token_counts(spark, docs).join(docs.select("doc_id", "source"), "doc_id")
+    return mix_sources(spark, Scratch(spark, "sized").put(sized, "sized"), table(spark, sf_dir, "mix_targets"), strict=strict)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, True)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, True)[1]
+
+
+def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, False)[1]
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered_shares": p7_tempered_shares}
 
 
 def oracle_sql() -> dict[str, str]:
