@@ -9,6 +9,7 @@ from tallyweave.llm.link_groups import link_groups
 from tallyweave.llm.merge_replay import encode_corpus, token_counts
 from tallyweave.llm.mixing import mix_sources
 from tallyweave.llm.nearest_time import match_nearest
+from tallyweave.llm.pii import find_pii, redact_pii
 from tallyweave.sources.tables import Scratch, table
 
 
@@ -56,8 +57,16 @@ def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, False)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(spark, table(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_pii(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered_shares": p7_tempered_shares}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_tempered_shares": p7_tempered_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
