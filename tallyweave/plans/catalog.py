@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import data_quality
+from tallyweave.plans import data_quality, reconciliation
 
 
 def queries() -> dict:
-    return data_quality.queries()
+    return data_quality.queries() | reconciliation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return data_quality.oracle_sql()
+    return data_quality.oracle_sql() | reconciliation.SQL
