@@ -70,4 +70,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """WITH t AS (SELECT DISTINCT canonical_id, source_id, epoch_us(occurred_at) us, amount, currency FROM canonical_transactions WHERE canonical_id NOT IN (SELECT supersedes_canonical_id FROM canonical_transactions WHERE supersedes_canonical_id IS NOT NULL)),
+s AS (SELECT t.*, list_contains(schema_versions, 'source_a.v1') is_a FROM t JOIN sources USING (source_id)),
+m AS (SELECT a.canonical_id a, min_by(b.canonical_id, struct_pack(d := abs(a.us - b.us), i := b.canonical_id)) b FROM s a JOIN s b ON a.currency = b.currency AND a.amount = b.amount AND b.us BETWEEN a.us - 129600000000 AND a.us + 129600000000 WHERE a.is_a AND NOT b.is_a GROUP BY 1)
+SELECT DISTINCT least(a, b) canonical_id_1, greatest(a, b) canonical_id_2 FROM m""",
+        "p5_found": """WITH RECURSIVE l AS (SELECT DISTINCT source_a_canonical_id a, source_b_canonical_id b FROM match_candidates WHERE source_a_canonical_id IS NOT NULL AND source_b_canonical_id IS NOT NULL),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a canonical_id, min(b) group_id FROM r GROUP BY a""",
+    }
