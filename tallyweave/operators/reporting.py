@@ -66,7 +66,7 @@ def cumulative_histogram(df: DataFrame, value: str, edges: list[float]) -> DataF
     return sums.select(F.inline(F.array(*pairs)))
 
 
-def fixed_window_limiter(rows: DataFrame, key: str, ts: str, id_: str, seconds: int, limit: int) -> DataFrame:
+def fixed_window_limiter(rows: DataFrame, key: str, micros: str, id_: str, seconds: int, limit: int) -> DataFrame:
     """id, allowed: at most ``limit`` rows per key in windows that begin with the first row after the last.
 
     Window starts depend on the data, so each key is walked in order. Partitions are sorted by Spark
@@ -85,5 +85,5 @@ def fixed_window_limiter(rows: DataFrame, key: str, ts: str, id_: str, seconds:
                 out.append(n <= limit)
             yield pd.DataFrame({id_: b[id_], key: b[key], "allowed": out})
 
-    ordered = rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, id_, F.unix_micros(ts).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", id_)
+    ordered = rows.filter(F.col(key).isNotNull() & F.col(micros).isNotNull()).select(key, id_, F.col(micros).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", id_)
     return ordered.mapInPandas(walk, f"{id_} {idk}, {key} {kind}, allowed boolean")

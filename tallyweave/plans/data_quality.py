@@ -108,9 +108,52 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("raw_record_id", F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros("micros").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at_utc"))
 
 
+def _text(c: str) -> str:
+    return f"nullif(trim(nfc_normalize({c})), '')"
+
+
+def _diff_sql(name: str, copy: str, key: str, fields: dict[str, str]) -> str:
+    def sides(f: str, kind: str) -> str:
+        if kind == "decimal":
+            return f"CAST(o.{f} AS DECIMAL(38,10)) IS DISTINCT FROM try_cast({_text('c.' + f)} AS DECIMAL(38,10))"
+        if kind == "instant":
+            return f"o.{f} IS DISTINCT FROM try_cast({_text('c.' + f)} AS TIMESTAMPTZ)"
+        return f"{_text('o.' + f)} IS DISTINCT FROM {_text('c.' + f)}"
+
+    latest = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY copied_at DESC) rn FROM {copy}) WHERE rn = 1 AND NOT is_deleted)"
+    orig = f"(SELECT DISTINCT {key}, {', '.join(fields)} FROM {name})"
+    out = [f"SELECT '{name}' table_name, {key} record_key, 'missing_in_copy' diff_kind, '' field_name FROM {orig} o WHERE NOT EXISTS (SELECT 1 FROM {latest} c WHERE c.{key} = o.{key})", f"SELECT '{name}', {key}, 'missing_in_original', '' FROM {latest} c WHERE NOT EXISTS (SELECT 1 FROM {name} o WHERE c.{key} = o.{key})"]
+    out += [f"SELECT '{name}', o.{key}, 'value', '{f}' FROM {orig} o JOIN {latest} c ON o.{key} = c.{key} WHERE {sides(f, k)}" for f, k in fields.items()]
+    return " UNION ALL ".join(out)
+
+
+_FATES = """t AS (SELECT DISTINCT canonical_id, source_id, raw_record_id, occurred_at, amount FROM canonical_transactions WHERE canonical_id NOT IN (SELECT supersedes_canonical_id FROM canonical_transactions WHERE supersedes_canonical_id IS NOT NULL)),
+arr AS (SELECT raw_record_id, min(accepted_at) arr_at FROM raw_records GROUP BY 1),
+f AS (SELECT t.*, CAST(floor(epoch_us(occurred_at) / 86400000000) AS BIGINT) day_n, epoch_us(arr_at) us, (CAST(floor(epoch_us(occurred_at) / 86400000000) AS BIGINT) + 1) * 86400000000 day_end FROM t LEFT JOIN arr USING (raw_record_id)),
+e AS (SELECT *, CASE WHEN us >= day_end + 168 * 3600000000 THEN 'dropped' WHEN us >= day_end + 6 * 3600000000 THEN 'late' WHEN us IS NOT NULL THEN 'on_time' END fate FROM f),
+r AS (SELECT DISTINCT reconciliation_id, source_a_record_id a, source_b_record_id b, outcome, supersedes_reconciliation_id s FROM reconciliations),
+corrected AS (SELECT DISTINCT o.reconciliation_id FROM r n JOIN r o ON n.s = o.reconciliation_id LEFT JOIN e ea ON ea.canonical_id = n.a LEFT JOIN e eb ON eb.canonical_id = n.b
+ WHERE coalesce(ea.fate, '') <> 'dropped' AND coalesce(eb.fate, '') <> 'dropped' AND ((ea.fate = 'late' AND n.a IS DISTINCT FROM o.a AND n.a IS DISTINCT FROM o.b) OR (eb.fate = 'late' AND n.b IS DISTINCT FROM o.a AND n.b IS DISTINCT FROM o.b)))"""
+
+
+def _daily_sql() -> str:
+    o = [(x, x.lower()) for x in OUTCOMES]
+    return f"""WITH {_FATES}, st AS (SELECT r.*, (SELECT count(*) FROM r n WHERE n.s = r.reconciliation_id) = 0 cur FROM r), keep AS (SELECT * FROM st WHERE cur OR reconciliation_id IN (SELECT reconciliation_id FROM corrected)),
+links AS (SELECT a canonical_id, reconciliation_id, outcome, cur FROM keep WHERE a IS NOT NULL UNION SELECT b, reconciliation_id, outcome, cur FROM keep WHERE b IS NOT NULL),
+per AS (SELECT canonical_id, max(CASE WHEN cur THEN struct_pack(i := reconciliation_id, o := outcome) END).o now_o, max(struct_pack(c := NOT cur, i := reconciliation_id, o := outcome)).o then_o FROM links GROUP BY 1)
+SELECT source_id, CAST(DATE '1970-01-01' + CAST(day_n AS INT) AS DATE) "day", count(*) FILTER (fate = 'on_time') n_published, count(*) FILTER (fate <> 'dropped') n_corrected, count(*) FILTER (fate = 'dropped') n_dropped,
+ coalesce(sum(amount) FILTER (fate = 'on_time'), 0) amount_published, coalesce(sum(amount) FILTER (fate <> 'dropped'), 0) amount_corrected, coalesce(sum(amount) FILTER (fate = 'dropped'), 0) amount_dropped,
+ {", ".join(f"count(*) FILTER (fate = 'on_time' AND then_o = '{x}') {y}_published" for x, y in o)}, {", ".join(f"count(*) FILTER (fate <> 'dropped' AND now_o = '{x}') {y}_corrected" for x, y in o)}
+FROM e LEFT JOIN per USING (canonical_id) WHERE fate IS NOT NULL GROUP BY 1, 2"""
+
+
 def queries() -> dict:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_daily": p2_daily, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": _diff_sql("canonical_transactions", "canonical_restored", "canonical_id", CANONICAL_FIELDS) + " UNION ALL " + _diff_sql("reconciliations", "reconciliations_restored", "reconciliation_id", RECONCILIATION_FIELDS),
+        "p2_found": f"WITH {_FATES} SELECT canonical_id record_key, fate FROM e WHERE fate IN ('late', 'dropped') UNION ALL SELECT reconciliation_id, 'corrected' FROM corrected",
+        "p2_daily": _daily_sql(),
+    }

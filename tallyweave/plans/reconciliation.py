@@ -10,6 +10,7 @@ from tallyweave.operators import candidates as cand
 from tallyweave.operators import matching, records, reporting
 from tallyweave.sources import feeds
 from tallyweave.sources.tables import Scratch, table
+from tallyweave.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -203,7 +204,7 @@ def _case(i: int) -> str:
             "direction": f"WHEN {v} NOT IN ('CREDIT', 'DEBIT') THEN '{k}/direction'",
         }.get(f, "")
         parts.append(f"CASE WHEN list_contains(keys, '{k}') THEN CASE WHEN json_type(j, '$.{k}') <> 'VARCHAR' THEN '{k}/type' {bad} END END")
-    return f"list_concat(list_transform(list_sort(list_filter(keys, x -> NOT list_contains({known}, x))), x -> concat(x, '/unknown_field')), list_filter([{', '.join(parts)}], x -> x IS NOT NULL))"
+    return f"list_concat(list_transform(list_sort(list_filter(keys, lambda x: NOT list_contains({known}, x))), lambda x: concat(x, '/unknown_field')), list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))"
 
 
 _VALIDATED = f"""WITH r AS (SELECT DISTINCT raw_record_id, schema_version, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END j FROM raw_records), k AS (SELECT *, json_keys(j) keys FROM r),
@@ -437,6 +438,8 @@ def table_digest(spark, sf):
     return reporting.table_digest(table(spark, sf, "canonical_transactions"), _DIGEST)
 
 
+# events.ts has no zone: its microseconds are those of the time as written
+_EVENT_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 _EDGES = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0]
 
 
@@ -459,16 +462,16 @@ def error_ratio(spark, sf):
 @query("SELECT event_type route, CAST(floor(epoch_us(ts) / 300000000) * 300 AS BIGINT) window_s, count(*) n, count(*) / 300.0 per_second FROM events GROUP BY ALL".replace("count(*) / 300.0 per_second", "CAST(count(*) AS DOUBLE) / 300 per_second"))
 def rate_by_route_5m(spark, sf):
     w = F.window("ts", "5 minutes")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("route"), w).agg(F.count(F.lit(1)).alias("n")).select("route", F.unix_seconds("window.start").alias("window_s"), "n", (F.col("n").cast("double") / 300).alias("per_second"))
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("route"), w).agg(F.count(F.lit(1)).alias("n")).select("route", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', window.start)").alias("window_s"), "n", (F.col("n").cast("double") / 300).alias("per_second"))
 
 
 @query("""WITH c AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) h, count(*) n FROM events GROUP BY ALL), t AS (SELECT event_type, h, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY h) AS BIGINT) counter FROM c)
-SELECT event_type, h hour, counter, counter - coalesce(lag(counter) OVER (PARTITION BY event_type ORDER BY h), 0) increase FROM t""")
+SELECT event_type, h "hour", counter, counter - coalesce(lag(counter) OVER (PARTITION BY event_type ORDER BY h), 0) increase FROM t""")
 def counter_increase(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("event_type").orderBy("hour")
-    per = table(spark, sf, "events").groupBy("event_type", F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    per = table(spark, sf, "events").groupBy("event_type", F.floor(F.expr(_EVENT_US) / 3_600_000_000).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("counter", F.sum("n").over(w)).select("event_type", "hour", "counter", (F.col("counter") - F.coalesce(F.lag("counter").over(w), F.lit(0))).alias("increase"))
 
 
@@ -491,4 +494,44 @@ def route_template(spark, sf):
 w AS (SELECT user_id, event_id, i, t, t s, 1 n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.t, CASE WHEN e.t - w.s >= 86400000000 THEN e.t ELSE w.s END, CASE WHEN e.t - w.s >= 86400000000 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
 SELECT event_id, user_id, n <= 2 allowed FROM w""")
 def rate_limiter(spark, sf):
-    return reporting.fixed_window_limiter(table(spark, sf, "events"), "user_id", "ts", "event_id", 86_400, 2)
+    return reporting.fixed_window_limiter(table(spark, sf, "events").withColumn("us", F.expr(_EVENT_US)), "user_id", "us", "event_id", 86_400, 2)
+
+
+# streams ------------------------------------------------------------------------------------------
+
+
+def _as_stream(spark, sf, scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
+    path = f"{scratch.root}/{name}-files"
+    df.repartition(4).write.parquet(path)
+    return ingest.file_stream(spark, path)
+
+
+@query("SELECT source_id, raw_record_id FROM raw_records GROUP BY ALL")
+def stream_ingest_dedup(spark, sf):
+    scratch = Scratch(spark, "stream")
+    stream = _as_stream(spark, sf, scratch, _raw(spark, sf).select("source_id", "raw_record_id", "seq"), "raw")
+    ingest.ingest_once(stream, f"{scratch.root}/ingested", f"{scratch.root}/checkpoint", ["source_id", "raw_record_id"], "seq")
+    return spark.read.parquet(f"{scratch.root}/ingested").select("source_id", "raw_record_id")
+
+
+@query("SELECT source_id, count(*) n_published, CAST(sum(seq) AS BIGINT) seq_published FROM raw_records WHERE accepted_at IS NOT NULL GROUP BY source_id")
+def stream_partials(spark, sf):
+    """Partials of a stream by day of acceptance, combined on read; equal to the batch result."""
+    from tallyweave.operators.late_events import with_fate
+
+    scratch = Scratch(spark, "partials")
+    stream = _as_stream(spark, sf, scratch, _raw(spark, sf).select("source_id", "accepted_at", "seq"), "raw")
+    events = with_fate(stream, "accepted_at", "accepted_at")
+    ingest.accumulate_partials(events, f"{scratch.root}/store", f"{scratch.root}/checkpoint", ["source_id"], {"seq": F.col("seq")})
+    days = ingest.read_periods(spark, f"{scratch.root}/store", ["source_id"], ["seq"])
+    return days.groupBy("source_id").agg(F.sum("n_published").alias("n_published"), F.sum("seq_published").alias("seq_published"))
+
+
+@query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, a, b, rule FROM dec")
+def stream_reconcile(spark, sf):
+    """Both feeds arrive as streams of files; every record is re-evaluated globally, none is dropped."""
+    scratch = Scratch(spark, "stream")
+    for name, df in zip("ab", _ab(spark, sf)):
+        ingest.ingest_once(_as_stream(spark, sf, scratch, df, name), f"{scratch.root}/{name}", f"{scratch.root}/checkpoint-{name}", ["rid"], "k")
+    a, b = (spark.read.parquet(f"{scratch.root}/{n}").drop("batch_n") for n in "ab")
+    return matching.decide(scratch, a, b, scratch.put(cand.candidates(a, b), "pairs"))
