@@ -25,9 +25,9 @@ def lineage(spark: SparkSession, rows: DataFrame, key: str, supersedes: str) ->
     scratch = Scratch(spark, "lineage")
     known = rows.select(F.col(key).alias("up")).distinct().withColumn("ok", F.lit(True))
     at = scratch.put(rows.select(key, F.col(supersedes).alias("up")).distinct().join(known, "up", "left").select(key, F.when(F.col("ok"), F.col("up")).alias("up"), F.when(F.col("ok"), 1).otherwise(0).alias("depth"), F.when(F.col("ok"), F.col("up")).otherwise(F.col(key)).alias("root")), "chain")
-    for _ in range(40):
-        if at.filter("up is not null").isEmpty():
-            break
+    left = -1
+    while (now := at.filter("up is not null").count()) not in (0, left):  # unchanged: only rings are left
+        left = now
         to = at.select(F.col(key).alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         nxt = at.join(to, "up", "left").select(key, F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
         at = scratch.put(nxt, "chain")
