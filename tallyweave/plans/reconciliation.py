@@ -357,7 +357,7 @@ def resolved_versions(spark, sf):
 SELECT entity, event_id, row_number() OVER (PARTITION BY entity ORDER BY seq, event_id) sequence FROM e""")
 def audit_trail(spark, sf):
     e = _raw(spark, sf).groupBy("raw_record_id", "source_id").agg(F.min("seq").alias("seq")).select(F.col("source_id").alias("entity"), F.concat(F.lit("ingest:"), "raw_record_id").alias("event_id"), "seq")
-    return reporting.gapless_sequence(e, ["entity"], ["seq", "event_id"]).select("entity", "event_id", F.col("sequence").cast("bigint").alias("sequence"))
+    return reporting.gapless_sequence(e, ["entity"], ["seq", "event_id"], F.floor(F.col("seq") / 500)).select("entity", "event_id", F.col("sequence").cast("bigint").alias("sequence"))
 
 
 _COUNTS = ("MATCHED", "MISMATCHED", "AMBIGUOUS", "DUPLICATE")

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyweave.operators import records
-from tallyweave.operators.reporting import fixed_window_limiter, lineage
+from tallyweave.operators.reporting import fixed_window_limiter, gapless_sequence, lineage
 
 
 def test_errors_in_order(spark):
@@ -43,3 +43,13 @@ def test_limiter_and_lineage(spark):
     chain = spark.createDataFrame([(f"r{i}", f"r{i - 1}" if i else None) for i in range(20)] + [("q", "gone"), ("x", "y"), ("y", "x")], "k string, s string")
     got = {r["k"]: (r["root"], r["depth"]) for r in lineage(spark, chain, "k", "s").collect()}
     assert got["r19"] == ("r0", 19) and got["r0"] == ("r0", 0) and got["q"] == ("q", 0) and "x" not in got
+
+
+def test_sequences_over_blocks(spark):
+    rows = [("a" if i % 3 else None, i // 2, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "e string, t int, i int")
+    got = {(r["e"], r["i"]): r["sequence"] for r in gapless_sequence(df, ["e"], ["t", "i"], F.floor(F.col("t") / 7)).collect()}
+    for e in ("a", None):
+        mine = [i for x, _, i in rows if x == e]
+        assert [got[e, i] for i in mine] == list(range(1, len(mine) + 1))
+    assert gapless_sequence(df.limit(0), ["e"], ["t"], F.col("t")).count() == 0
