@@ -32,7 +32,7 @@ _AT = rf"{_S}?(?:@|\[at\]|\(at\)){_S}?|{_S}(?:at){_S}"
 _DOT = rf"\.|{_S}?(?:\[dot\]|\(dot\)){_S}?|{_S}dot{_S}"
 _STREET_END = "|".join(sorted({k.rstrip(".").lower() for k in EN_KINDS} | {"quay", "walk", "hill", "gate", "gardens", "square"}, key=len, reverse=True))
 CANDIDATES = [
-    re.compile(rf"[\w.+-]+(?:{_AT})(?:[\w-]+(?:{_DOT}))+[a-z][\w-]*", re.I),
+    re.compile(rf"(?<![\w.+-])[\w.+-]++(?:{_AT})(?:[\w-]+(?:{_DOT}))+[a-z][\w-]*", re.I),
     re.compile(
         rf"(?<![\w.,/*-])(?:\+1{_S}?\(?\d{{3}}\)?(?:{_S}|{_H}|\.)?\d{{3}}(?:{_S}|{_H}|\.)?\d{{4}}|(?:\+|00)33{_S}?(?:\(0\){_S}?)?\d(?:{_S}?\d\d){{4}}|(?:\+|00)44{_S}?(?:\(0\){_S}?)?(?:\d\d{_S}?\d{{4}}{_S}?\d{{4}}|\d{{4}}{_S}?\d{{3}}{_S}?\d{{3}})|(?:\+|00)[2-9]\d{{0,2}}{_S}?(?:\(0\){_S}?)?\d(?:(?:{_S}|{_H}|/)?\d){{5,11}}|\(\d{{3}}\){_S}?\d{{3}}{_H}\d{{4}}|\d{{3}}[.]\d{{3}}[.]\d{{4}}|\d{{3}}{_H}\d{{3}}{_H}\d{{4}}|0\d{{2,4}}(?:{_S}|/)\d{{3,6}}(?:(?:{_S}|{_H})\d{{2,4}})?|0\d(?:{_S}\d\d){{4}})(?![\w/]|{_H}\d|[.,]\d)"
     ),
@@ -45,7 +45,7 @@ CANDIDATES = [
         re.I,
     ),
     re.compile(
-        rf"(?<![\w-])(?:\d{{1,5}}(?:{_S}bis|{_S}ter)?,?{_S}(?:rue|avenue|boulevard|chemin|impasse|all[eé][́]?e|place|quai|cours){_S}(?:d[eu]s?|de{_S}la|de{_S}l['’])[^\d\n,.|\"]{{3,34}}?(?=,|\.|$|\n|\||{_S}(?-i:[a-z]{{3,}})|{_S}\d|\"|{_S}#)|(?:calle|c/|avenida|avda\.?|plaza|paseo|camino){_S}d[^\d,|\"]{{3,34}}?(?:,{_S}|{_S}n[ºo]{_S}|{_S})\d{{1,5}}|[^\W\d_][\ẁ-ͯ]*?-?(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|damm|ufer|ring){_S}\d{{1,4}}(?:{_S}?[a-d]\b)?)",
+        rf"(?<![\w-])(?:\d{{1,5}}(?:{_S}bis|{_S}ter)?,?{_S}(?:rue|avenue|boulevard|chemin|impasse|all[eé][́]?e|place|quai|cours){_S}(?:d[eu]s?|de{_S}la|de{_S}l['’])[^\d\n,.|\"]{{3,34}}?(?=,|\.|$|\n|\||{_S}(?-i:[a-z]{{3,}})|{_S}\d|\"|{_S}#)|(?:calle|c/|avenida|avda\.?|plaza|paseo|camino){_S}d[^\d,|\"]{{3,34}}?(?:,{_S}|{_S}n[ºo]{_S}|{_S})\d{{1,5}}|[^\W\d_][\ẁ-ͯ-]*+(?:(?<=[\w-]str)\.|(?<=[\w-]straße)|(?<=[\w-]strasse)|(?<=[\w-]weg)|(?<=[\w-]platz)|(?<=[\w-]gasse)|(?<=[\w-]allee)|(?<=[\w-]damm)|(?<=[\w-]ufer)|(?<=[\w-]ring)){_S}\d{{1,4}}(?:{_S}?[a-d]\b)?)",
         re.I,
     ),
 ]
@@ -122,33 +122,32 @@ class Batch:
     def __init__(self, texts: list[str]):
         vocab: dict[str, int] = {"\x00": 0}
         self.stretches: dict[tuple[int, str], list[tuple[int, int]]] = {}
-        word, start, end, doc, gap, cand = [], [], [], [], [], []
+        number = vocab.setdefault
+        word: list[int] = []
+        spans, doc, gap, cand = [], [], [], []
         for d, text in enumerate(texts):
-            at = len(word)
-            stop = 0
-            for m in TOKEN.finditer(text):
-                i, j = m.span()
-                word.append(vocab.setdefault(m[0], len(vocab)))
-                start.append(i)
-                end.append(j)
-                between = text[stop:i]
-                gap.append(0 if i == stop else 1 if "\n" not in between else 2 if between.count("\n") == 1 else 3)
-                stop = j
-            n = len(word) - at
+            at = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+            s, n = at[:, 0], len(at)
+            word += [number(w, len(vocab)) for w in TOKEN.findall(text)]
+            spans.append(at)
             doc.append(n)
+            before = np.r_[0, at[:-1, 1]] if n else s
+            lines = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+            breaks = np.searchsorted(lines, s) - np.searchsorted(lines, before)
+            gap.append(np.where(s == before, 0, 1 + np.minimum(breaks, 2)))
             flags = np.zeros((n, 5), np.int8)
-            s = np.array(start[at:], np.int64)
             for k, rx in enumerate(CANDIDATES):
                 if n and _ROUGH[k].search(text):
                     for m in rx.finditer(text):
                         self.stretches.setdefault((d, STRETCH_TYPES[k]), []).append(m.span())
-                        i, j = np.searchsorted(s, m.start()), np.searchsorted(s, m.end())
+                        i, j = np.searchsorted(s, m.span())
                         flags[i:j, k] = 1
                         if i < n:
                             flags[i, k] = 2
             cand.append(flags)
         self.n = len(word)
-        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        self.start, self.end = np.concatenate([np.zeros((0, 2), np.int64), *spans]).T
+        gap = np.concatenate([np.zeros(0, np.int64), *gap])
         self.doc = np.repeat(np.arange(len(texts)), doc)
         pad = np.zeros(3, np.int64)
         gaps = 3  # empty places between texts, so that neighbours never cross
@@ -171,7 +170,7 @@ class Batch:
         gp[place] = gap
         self.codes = [pc[place + o] for o in (-1, 0, 1)] + [pc[place] * 4 + gp[place]]
         self.gaps = gp[place] * 4 + gp[place + 1]
-        self.gap, self.cls, self.code = np.array(gap), at(0), code
+        self.gap, self.cls, self.code = gap, at(0), code
         self.cls_near = (at(-1), at(1))
         del pad
 
