@@ -85,7 +85,7 @@ def _fill(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"mix_name": block["mix_name"].iloc[0], "source": block["source"].iloc[0], "doc_id": taken})
 
 
-def mix_sources(spark: SparkSession, sized: DataFrame, targets: DataFrame, seed: int = 7, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def mix_sources(spark: SparkSession, sized: DataFrame, targets: DataFrame, seed: int = 7, strict: bool = True, corpus_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(draws, shares) of the mixes. sized: doc_id, source, n_tokens, one row per document.
 
     draws has mix_name, source, doc_id, n_tokens, repeats (how often the document is in the mix, 1 to
@@ -94,13 +94,15 @@ def mix_sources(spark: SparkSession, sized: DataFrame, targets: DataFrame, seed:
     targets, the gap being reported. Not strict: all weights are tempered until no limit binds.
     shares has a row for every row of the targets, also for absent sources: what was asked, what is
     there, the share of the mix's actual total, and the exponent at which no limit would bind.
+    corpus_tokens is what corpus_multiple multiplies, the tokens of all documents whether they have a
+    source or not; where it isn't given, those of the documents that can be drawn.
     Documents without tokens or source are never drawn. Weights below or equal to 0 or null give
     nothing; a source named twice in a mix has the sum of its weights and the smaller limit.
     """
     scratch = Scratch(spark, "mix")
     sized = sized.select("doc_id", "source", "n_tokens").filter("n_tokens > 0 and source is not null")
     per = scratch.put(sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("n_docs")), "sources")
-    corpus = scratch.put(sized.agg(F.sum("n_tokens").alias("n")), "total").first()["n"] or 0
+    corpus = scratch.put(sized.agg(F.sum("n_tokens").alias("n")), "total").first()["n"] or 0 if corpus_tokens is None else corpus_tokens
     one = targets.filter("source is not null and mix_name is not null").groupBy("mix_name", "source").agg(F.max("corpus_multiple").alias("corpus_multiple"), F.sum("target_weight").alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
     asked = one.join(per, "source", "left").select("mix_name", "source", "corpus_multiple", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), F.lit(corpus).alias("corpus_tokens"))
     budgets = scratch.put(asked.groupBy("mix_name").applyInPandas(_budgets(strict), _BUDGET), "budgets")

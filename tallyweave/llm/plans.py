@@ -42,7 +42,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix(spark: SparkSession, sf_dir: str, strict: bool) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = token_counts(spark, docs).join(docs.select("doc_id", "source"), "doc_id")
-    return mix_sources(spark, Scratch(spark, "sized").put(sized, "sized"), table(spark, sf_dir, "mix_targets"), strict=strict)
+    sized = Scratch(spark, "sized").put(sized, "sized")
+    corpus = sized.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    return mix_sources(spark, sized, table(spark, sf_dir, "mix_targets"), strict=strict, corpus_tokens=corpus)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
