@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.operators.copy_diff import CopyPair, copy_differences
 from tallyweave.functions.text import strip
 from tallyweave.operators.instant_dictionary import InstantDictionary
-from tallyweave.operators.late_events import combine, partials, with_fate
+from tallyweave.operators.late_events import combine, merge_partials, partials, with_fate
 from tallyweave.sources.tables import Scratch, table
 
 CANONICAL_FIELDS = {"source_record_id": "text", "occurred_at": "instant", "amount": "decimal", "currency": "text", "direction": "text", "account_reference": "text", "transaction_reference": "text", "description": "text"}
@@ -56,9 +56,18 @@ def _corrections(rec: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = Scratch(spark, "late").put(_p2_events(spark, sf_dir).filter(F.col("fate").isin("late", "dropped")).select("canonical_id", "fate"), "fates")
-    corrected = _corrections(_rec(spark, sf_dir), events).select(F.col("reconciliation_id").alias("record_key"), F.lit("corrected").alias("fate"))
-    return events.select(F.col("canonical_id").alias("record_key"), "fate").unionByName(corrected)
+    """Fates by the stored partials: what merging at the arrival hour takes or refuses decides for its records."""
+    scratch = Scratch(spark, "late")
+    events = scratch.put(_p2_events(spark, sf_dir).select("canonical_id", "source_id", "day", "slot", "fate"), "events")
+    arriving = scratch.put(partials(events, ["source_id"], {}), "arriving")
+    store, refused = merge_partials(arriving.limit(0), arriving, ["source_id"], [], F.col("slot"))
+    store, refused = scratch.put(store, "store"), scratch.put(refused, "refused")
+    periods = store.filter("fate = 'late'").select("source_id", "day", "slot", "fate").unionByName(refused.select("source_id", "day", "slot", F.lit("dropped").alias("fate")))
+    e, p = events.drop("fate").alias("e"), periods.alias("p")
+    same = F.col("e.source_id").eqNullSafe(F.col("p.source_id")) & (F.col("e.day") == F.col("p.day")) & (F.col("e.slot") == F.col("p.slot"))
+    fates = scratch.put(e.join(p, same).select("canonical_id", "fate"), "fates")
+    corrected = _corrections(_rec(spark, sf_dir), fates).select(F.col("reconciliation_id").alias("record_key"), F.lit("corrected").alias("fate"))
+    return fates.select(F.col("canonical_id").alias("record_key"), "fate").unionByName(corrected)
 
 
 OUTCOMES = ("MATCHED", "MISMATCHED", "UNMATCHED_A", "UNMATCHED_B", "AMBIGUOUS", "DUPLICATE")
