@@ -50,7 +50,7 @@ CANDIDATES = [
     ),
 ]
 STRETCH_TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "ADDRESS")
-_ROUGH = [re.compile(r"@|\bat\b", re.I), re.compile(r"\d{3}"), re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d")]
+_ROUGH = [re.compile(r"@|\bat\b", re.I), re.compile(r"\+\d|\d{2}"), re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d")]
 
 _CLASSES = ["pad", "other", "lower", "given", "family", "org", "form", "initial", "cap", "upper", "digits", "mixed", ",", ".", "-", "&", ":", "(", ")", "'", '"', "|", "/", "@", "street", "road"]
 _C = {c: i for i, c in enumerate(_CLASSES)}
