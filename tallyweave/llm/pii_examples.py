@@ -1,7 +1,7 @@
 """The small labelled table from which the tagger is trained.
 
 A row is a text with marks ``‹TYPE:span›``. Rows are sentence patterns with their slots filled from
-the lists below by a seeded generator, so the table is the same on every machine.
+the lists below, or with invented words, by a seeded generator, so the table is the same on every machine.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ FR_KINDS = ["rue", "avenue", "boulevard", "chemin", "impasse", "allée"]
 ES_STREETS = ["del Olmo Gris", "del Molino Hundido", "de la Noria Vieja", "de los Alfareros Mudos", "de la Encina Alta", "del Pozo Amargo"]
 ES_KINDS = ["Calle", "C/", "Avenida", "Plaza"]
 TOPICS = ["value date", "late file", "cut-off", "FX margin", "fee netting", "rounding", "reversal", "settlement window", "duplicate advice", "partial capture", "weekend posting", "cross-border leg"]
+INVENTED = 0.5  # share of names, towns and streets that are put together at random instead of taken from the lists
+ONSETS = "B Br C Ch D Dr F Fl G Gr H J K Kl L M N P Pr R S Sch Sh St T Th Tr V W Y Z".split()
+VOWELS = "a e i o u ai ei ie ou é ö".split()
+CODAS = "l ll m n nn r rd rt s ss ck ng nd tt".split()
+LASTS = "a e o y i n r s l son man er ic ez i ley ton berg ard in us".split()
 ID_LABELS = {
     "ssn": ["SSN ", "SSN: ", "SSN#", "social security no. ", "", "SSN "],
     "ni": ["NI number ", "national insurance no. ", "NI ", ""],
@@ -37,6 +42,11 @@ ID_LABELS = {
 PHONE_LABELS = ["", "", "Tel.: ", "tel. ", "mob: ", "phone ", "TEL.: "]
 
 POSITIVE = r"""
+Beneficiary {N} confirmed {M} on {D}.
+Cardholder {N} called at {H} about the {C}.
+Customer {N} sent {R} again.
+Beneficiary {N}, account {X}, wrote from {E}.
+Cardholder {N}: form shows {I}.
 {N} signed the release for {X}.
 Identity check done for {N}: {I}.
 Escalated to {N} at {O}.
@@ -201,12 +211,21 @@ class Maker:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def invented(self) -> str:
+        r = self.r
+        middle = "".join(r.choice(CODAS) + r.choice(VOWELS) for _ in range(r.choice([0, 1, 1])))
+        return r.choice(ONSETS) + r.choice(VOWELS) + middle + r.choice(CODAS) + r.choice(LASTS)
+
+    def pick(self, known: list[str], like: str = "{}") -> str:
+        """One of the list, or an invented word in its place."""
+        return like.format(self.invented()) if self.r.random() < INVENTED else self.r.choice(known)
+
     def surname(self) -> str:
-        return self.r.choice(STEMS) + self.r.choice(ENDS)
+        return self.invented() if self.r.random() < INVENTED else self.r.choice(STEMS) + self.r.choice(ENDS)
 
     def name(self) -> str:
         r = self.r
-        g, s = r.choice(GIVEN), self.surname()
+        g, s = self.pick(GIVEN), self.surname()
         if r.random() < 0.12:
             s += "-" + self.surname()
         elif r.random() < 0.13:
@@ -242,7 +261,7 @@ class Maker:
 
     def email(self) -> str:
         r = self.r
-        g, s = self.ascii(r.choice(GIVEN)), self.ascii(self.surname())
+        g, s = self.ascii(self.pick(GIVEN)), self.ascii(self.surname())
         local = r.choice([f"{g}.{s}+recon", f"{g}_{s}{r.randint(1, 99)}", f"{g[0]}{s}", f"{s}-{g}", f"{g}{r.randint(1950, 2005)}", f"{g}.{s}", r.choice(["settlements", "ops", "no-reply", "billing", "payouts", "recon.desk"])])
         stem = r.choice(STEMS).lower()
         host = r.choice(["", "mail.", "eu."]) + (r.choice(["example"]) if r.random() < 0.15 else stem + r.choice(["trade", "pay", "bank", "post", "-clearing"])) + r.choice([".example", ".example.org", ".example.com", ".example.net", ".test", ".invalid"])
@@ -286,21 +305,21 @@ class Maker:
         n = str(r.choice([r.randint(1, 40), r.randint(41, 999), r.randint(1000, 9999)]))
         k = r.random()
         if k < 0.5:
-            a = f"{n}{r.choice(['', '', '', '', 'a', 'b', 'C', 'B'])} {r.choice(['', '', '', 'N. ', 'S ', 'West '])}{r.choice(EN_STREETS)} {r.choice(EN_KINDS)}"
+            a = f"{n}{r.choice(['', '', '', '', 'a', 'b', 'C', 'B'])} {r.choice(['', '', '', 'N. ', 'S ', 'West '])}{self.pick(EN_STREETS)} {r.choice(EN_KINDS)}"
         elif k < 0.66:
-            s, kind = r.choice(DE_STREETS), r.choice(DE_KINDS)
+            s, kind = self.pick(DE_STREETS), r.choice(DE_KINDS)
             street = f"{s}-{kind.title()}" if r.random() < 0.25 else s + kind
             a = f"{street} {n}{r.choice(['', '', '', 'a', ' b'])}"
         elif k < 0.83:
-            a = f"{n}{r.choice(['', '', '', ' bis'])}{r.choice([', ', ' ', ', '])}{r.choice(FR_KINDS)} {r.choice(FR_STREETS)}"
+            a = f"{n}{r.choice(['', '', '', ' bis'])}{r.choice([', ', ' ', ', '])}{r.choice(FR_KINDS)} {self.pick(FR_STREETS, r.choice(['de {}', 'du {}', 'des {}s', 'de la {}']))}"
         else:
-            a = f"{r.choice(ES_KINDS)} {r.choice(ES_STREETS)}{r.choice([' ', ', ', ' nº '])}{n}"
+            a = f"{r.choice(ES_KINDS)} {self.pick(ES_STREETS, r.choice(['de {}', 'del {}', 'de la {}']))}{r.choice([' ', ', ', ' nº '])}{n}"
         return f"‹ADDRESS:{a.upper() if r.random() < 0.06 else a}›"
 
     def unit(self) -> str:
         r = self.r
         u = r.choice(["", "", "", f", Apt {r.randint(1, 60)}", f", Flat {r.randint(1, 60)}", f", Unit {r.randint(1, 60)}", f" #{r.randint(1, 60)}", ", 5º C"])
-        t = r.choice(TOWNS)
+        t = self.pick(TOWNS)
         return u + r.choice(["", "", f", {t}", f", {t} 00{self.digits(3)}", f", 00{self.digits(3)} {t}"])
 
     def fill(self, pattern: str) -> str:
@@ -316,7 +335,7 @@ class Maker:
             out.append(
                 {
                     "N": self.name, "E": self.email, "P": self.phone, "I": self.ident, "A": self.address, "U": self.unit, "O": self.org,
-                    "T": lambda: r.choice(TOWNS), "C": lambda: r.choice(TOPICS), "4": lambda: d(4), "8": lambda: d(8),
+                    "T": lambda: self.pick(TOWNS), "C": lambda: r.choice(TOPICS), "4": lambda: d(4), "8": lambda: d(8),
                     "R": lambda: r.choice([f"TRN{d(7)}", f"RF/{d(7)}", f"PO {d(7)}/26", f"INV-{d(3)}-{d(3)}-{d(4)}"]),
                     "X": lambda: r.choice([f"ACC-10{d(5)}", "ACC-7700014"]), "#": lambda: str(r.choice([r.randint(1, 9), r.randint(10, 2500)])),
                     "M": lambda: f"{r.choice([d(2) + '.' + d(2), r.choice('123456789') + d(2) + '.' + d(2), '1,' + d(3) + '.' + d(2), d(2)])} {r.choice(['EUR', 'USD', 'GBP', 'CHF', 'JPY', 'INR', 'AUD', 'BRL'])}",
