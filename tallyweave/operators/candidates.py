@@ -30,10 +30,11 @@ def candidates(a: DataFrame, b: DataFrame, days: int = 2) -> DataFrame:
     return hits.groupBy("a", "b").agg(F.max("isref").alias("isref"), F.max("isamt").alias("isamt"))
 
 
-def candidates_of(target: str, a: DataFrame, b: DataFrame, days: int = 2) -> DataFrame:
-    """The candidates of one record of either side; the filter is pushed below the joins."""
-    one = F.col("rid") == target
-    return candidates(a.filter(one), b, days).unionByName(candidates(a, b.filter(one), days)).distinct()
+def candidates_of(targets: DataFrame, a: DataFrame, b: DataFrame, days: int = 2) -> DataFrame:
+    """The candidates of all records whose ``rid`` is in targets, of either side; others are gone before the joins."""
+    one = targets.select("rid").distinct()
+    pick = lambda df: df.join(one, "rid", "left_semi")
+    return candidates(pick(a), b, days).unionByName(candidates(a, pick(b), days)).distinct()
 
 
 def distribution(records: DataFrame, pairs: DataFrame) -> DataFrame:

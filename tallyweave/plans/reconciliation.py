@@ -96,7 +96,14 @@ def candidates_union(spark, sf):
 
 @query(f"{_FEEDS}{_CAND} SELECT a, b, isref, isamt FROM cand WHERE a = 'A-38' OR b = 'A-38'")
 def candidates_of_target(spark, sf):
-    return cand.candidates_of("A-38", *_ab(spark, sf))
+    return cand.candidates_of(spark.createDataFrame([("A-38",)], "rid string"), *_ab(spark, sf))
+
+
+@query(f"{_FEEDS}{_CAND} SELECT a, b, isref, isamt FROM cand WHERE CAST(split_part(a, '-', 2) AS BIGINT) % 100 = 0 OR CAST(split_part(b, '-', 2) AS BIGINT) % 100 = 0")
+def candidates_of_hundredths(spark, sf):
+    """The candidates of every record of both sides whose number is divisible by 100."""
+    a, b = _ab(spark, sf)
+    return cand.candidates_of(a.unionByName(b).filter("k % 100 = 0"), a, b)
 
 
 @query(f"""{_FEEDS}{_CAND}, n AS (SELECT rid, count(*) n FROM (SELECT a rid FROM cand UNION ALL SELECT b FROM cand) GROUP BY rid)
