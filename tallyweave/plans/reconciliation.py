@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import newlines, nfc
 from tallyweave.operators import candidates as cand
 from tallyweave.operators import matching, records, reporting
+from tallyweave.plans.data_quality import _FATES, _p2_events
 from tallyweave.sources import feeds
 from tallyweave.sources.tables import Scratch, table
 from tallyweave.streaming import ingest
@@ -534,6 +535,18 @@ def stream_partials(spark, sf):
     return days.groupBy("source_id").agg(F.sum("n_published").alias("n_published"), F.sum("seq_published").alias("seq_published"))
 
 
+@query(f"""WITH {_FATES} SELECT source_id, CAST(DATE '1970-01-01' + CAST(day_n AS INT) AS DATE) "day", count(*) FILTER (fate = 'on_time') n_published, count(*) FILTER (fate <> 'dropped') n_corrected, count(*) FILTER (fate = 'dropped') n_dropped,
+ coalesce(sum(amount) FILTER (fate = 'on_time'), 0) amount_published, coalesce(sum(amount) FILTER (fate <> 'dropped'), 0) amount_corrected, coalesce(sum(amount) FILTER (fate = 'dropped'), 0) amount_dropped FROM e WHERE fate IS NOT NULL GROUP BY 1, 2""")
+def stream_late_daily(spark, sf):
+    """Current transactions as a stream, by day of occurrence: published, corrected and refused as too late."""
+    from tallyweave.operators.late_events import with_fate
+
+    scratch = Scratch(spark, "late-stream")
+    stream = _as_stream(spark, sf, scratch, _p2_events(spark, sf).select("source_id", "occurred_at", "arrived", "amount"), "current")
+    ingest.accumulate_partials(with_fate(stream, "occurred_at", "arrived"), f"{scratch.root}/store", f"{scratch.root}/checkpoint", ["source_id"], {"amount": F.col("amount")})
+    return ingest.read_periods(spark, f"{scratch.root}/store", ["source_id"], ["amount"])
+
+
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, a, b, rule FROM dec")
 def stream_reconcile(spark, sf):
     """Both feeds arrive as streams of files; every record is re-evaluated globally, none is dropped."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators.late_events import Cutoffs, combine, partials
+from tallyweave.operators.late_events import Cutoffs, combine, merge_partials, partials
 from tallyweave.operators.records import first_submissions
 
 
@@ -41,14 +41,21 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str]
 
 
 def accumulate_partials(stream: DataFrame, store: str, checkpoint: str, group: list[str], sums: dict, cut: Cutoffs = Cutoffs()) -> None:
-    """Write the partials of each micro-batch of events (with day, slot and fate) as files of their own."""
+    """Write the partials of each micro-batch of events (with day, slot and fate) as files of their own.
+
+    Those of periods closed when they arrived are refused and go to ``<store>-refused``.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
-        partials(batch, group, sums).write.mode("overwrite").parquet(f"{store}/batch_n={n}")
+        parts = partials(batch, group, sums).persist()
+        taken, refused = merge_partials(parts.limit(0), parts, group, list(sums), F.col("slot"), cut)
+        taken.write.mode("overwrite").parquet(f"{store}/batch_n={n}")
+        refused.write.mode("overwrite").parquet(f"{store}-refused/batch_n={n}")
+        parts.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_periods(spark: SparkSession, store: str, group: list[str], measures: list[str]) -> DataFrame:
-    """Combine all partials on read."""
-    return combine(spark.read.parquet(store), group, measures)
+    """Combine all partials on read; the refused ones count as dropped only."""
+    return combine(spark.read.parquet(store).unionByName(spark.read.parquet(f"{store}-refused")), group, measures)
