@@ -226,7 +226,7 @@ def copy_differences(spark: SparkSession, pairs: list[CopyPair]) -> DataFrame:
     scratch = Scratch(spark, "copydiff")
     slim = None
     for i, p in enumerate(pairs):
-        rows = p.original.count()
+        rows = max(p.original.count(), p.copy.count())
         buckets = 1 << max(4, (max(1, rows) // BUCKET_ROWS).bit_length())
         for side, df in ((0, p.original), (1, p.copy)):
             part = _slim(p, df, buckets, side == 1).select(F.lit(i).alias("t"), F.lit(side).alias("side"), "bucket", "k1", "k2", "elem")
