@@ -1,16 +1,21 @@
 """Personal information in free text: a linear-chain conditional random field in numpy.
 
 Tokens are tagged O or B-/I- of five types. A tag's score sums weights of features of the token and
-its neighbours up to three away: the word, its shape, its beginning and end, a coarse class and the
-classes of three neighbours together, and whether the token lies in a stretch written like an e-mail
-address, a number or a street address (patterns only mark stretches; the field decides). Features of
-a word are computed once per distinct word and looked up. The field is trained by maximum likelihood
-(Adam, full batches) on the labelled table of ``pii_examples``; texts are decoded by Viterbi in
-batches of stretches between sentence ends.
+its neighbours up to three away: the word if it is one of the frames or a function word, else only
+its shape, its ending, and whether public vocabularies hold it as a common word, only with a capital,
+or not at all; a coarse class and the classes of three neighbours together; and whether the token
+lies in a stretch written like an e-mail address, a number or a street address (patterns only mark
+stretches; the field decides). Features of a word are computed once per distinct word and looked up.
+The field is trained by maximum likelihood (Adam) on the labelled table of ``pii_examples``, with
+words and endings hidden at random; texts are decoded by Viterbi in batches of stretches between
+sentence ends. An exact check drops what can't be of its type.
 """
 
 from __future__ import annotations
 
+import base64
+import os
+import random
 import re
 import unicodedata
 import zlib
@@ -18,21 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 
-from tallyweave.llm.pii_examples import EN_KINDS, ENDS, FORMS, GIVEN, ORG_ENDS, labelled_rows, unmark
+from tallyweave.llm.pii_examples import COMMON, EN_KINDS, FORMS, LEGAL, ORG_WORDS, PARTICLES, frame_words, labelled_rows, unmark
 
 TYPES = ("NAME", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS")
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 L = len(TAGS)
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 BITS = {0: 14, -1: 13, 1: 13, -2: 12, 2: 12, -3: 12, 3: 12}
-TOKEN = re.compile(r"(?:[^\W_][̀-ͯ]*)+|_|[^\w\s]")
 
 _S, _H = r"[    \n]", r"[-‐‑–]"
 _AT = rf"{_S}?(?:@|\[at\]|\(at\)){_S}?|{_S}(?:at){_S}"
 _DOT = rf"\.|{_S}?(?:\[dot\]|\(dot\)){_S}?|{_S}dot{_S}"
 _STREET_END = "|".join(sorted({k.rstrip(".").lower() for k in EN_KINDS} | {"quay", "walk", "hill", "gate", "gardens", "square"}, key=len, reverse=True))
 CANDIDATES = [
-    re.compile(rf"(?<![\w.+-])[\w.+-]++(?:{_AT})(?:[\w-]+(?:{_DOT}))+[a-z][\w-]*", re.I),
+    re.compile(rf"(?<![\w.+-])[\w.+-]++(?:{_AT})(?:[\w-]+(?:{_DOT}))+[a-z][\w-]*+(?!{_S}?(?:[+@]|\[at\]|\(at\)))", re.I),
     re.compile(
         rf"(?<![\w.,/*-])(?:\+1{_S}?\(?\d{{3}}\)?(?:{_S}|{_H}|\.)?\d{{3}}(?:{_S}|{_H}|\.)?\d{{4}}|(?:\+|00)33{_S}?(?:\(0\){_S}?)?\d(?:{_S}?\d\d){{4}}|(?:\+|00)44{_S}?(?:\(0\){_S}?)?(?:\d\d{_S}?\d{{4}}{_S}?\d{{4}}|\d{{4}}{_S}?\d{{3}}{_S}?\d{{3}})|(?:\+|00)[2-9]\d{{0,2}}{_S}?(?:\(0\){_S}?)?\d(?:(?:{_S}|{_H}|/)?\d){{5,11}}|\(\d{{3}}\){_S}?\d{{3}}{_H}\d{{4}}|\d{{3}}[.]\d{{3}}[.]\d{{4}}|\d{{3}}{_H}\d{{3}}{_H}\d{{4}}|0\d{{2,4}}(?:{_S}|/)\d{{3,6}}(?:(?:{_S}|{_H})\d{{2,4}})?|0\d(?:{_S}\d\d){{4}})(?![\w/]|{_H}\d|[.,]\d)"
     ),
@@ -50,23 +54,54 @@ CANDIDATES = [
     ),
 ]
 STRETCH_TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "ADDRESS")
-_ROUGH = [re.compile(r"@|\bat\b", re.I), re.compile(r"\+\d|\d{2}"), re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d")]
+#: Stands between the texts of a batch: no pattern and no token crosses it.
+_BETWEEN = "\n\x00\n"
 
-_CLASSES = ["pad", "other", "lower", "given", "family", "org", "form", "initial", "cap", "upper", "digits", "mixed", ",", ".", "-", "&", ":", "(", ")", "'", '"', "|", "/", "@", "street", "road"]
+_CLASSES = ["pad", "other", "lower", "org", "form", "initial", "cap", "upper", *(c + k for c in ("lower", "cap", "upper") for k in "cpr"), "digits", "mixed", ",", ".", "-", "&", ":", "(", ")", "'", '"', "|", "/", "@", "street", "road"]
 _C = {c: i for i, c in enumerate(_CLASSES)}
 NC = len(_CLASSES)
-_GIVEN = {unicodedata.normalize("NFC", g).casefold() for g in GIVEN}
-_ORG = {w.casefold() for o in ORG_ENDS for w in o.split()} | {"llp", "ltd", "gmbh", "sarl", "banco", "bank", "inc", "ag"}
+_PARTS = re.compile(r"[^\W\d_]+")
+_ORG = {w.casefold() for o in (*ORG_WORDS, *LEGAL) for w in _PARTS.findall(o) if len(w) > 1} | {"bank", "banque", "banco", "banca", "sparkasse", "caixa", "grupo", "trust"}
 _FORM = {f.rstrip(".").casefold() for f in FORMS if len(f) > 2}
 _STREET_WORD = re.compile(r".{3}(?:stra(?:ß|ss)e|str|weg|platz|gasse|allee|damm|ufer|ring)$")
-_ROAD = set(_STREET_END.split("|")) | {"rue", "avenue", "boulevard", "chemin", "impasse", "calle", "avenida", "plaza", "paseo", "weg", "platz", "gasse", "allee", "damm", "ufer", "ring", "straße", "strasse", "str"}
-_FAMILY = re.compile("(?:" + "|".join(map(re.escape, ENDS)) + ")$")
+_ROAD = set(_STREET_END.split("|")) | {"rue", "avenue", "boulevard", "chemin", "impasse", "calle", "avenida", "avda", "plaza", "paseo", "camino", "quai", "weg", "platz", "gasse", "allee", "damm", "ufer", "ring", "straße", "strasse", "str"}
 
 
-def _word(w: str) -> tuple[int, list[str], list[str]]:
-    """Class, own features and neighbour features of a token; case-insensitive features only help the rest."""
-    w = unicodedata.normalize("NFC", w)
+#: Words the field may know by themselves; all others are only known by shape, ending and surroundings.
+KNOWN = frozenset(frame_words()) | {w.casefold() for w in COMMON}
+#: Shares of the words that training takes for unknown, and whose ending it hides, anew in every place.
+DROPPED, NO_ENDING = 0.3, 0.6
+_UNKNOWN, _BLUNT = "\x00", "\x01"
+_MARKS = _UNKNOWN + _BLUNT
+
+
+TOKENIZER_DIR = "/opt/tokenizers"
+
+
+@lru_cache(maxsize=2)
+def _public_words(tokenizer_dir: str) -> frozenset[str]:
+    """Whole words, as written, that public vocabularies hold as one token."""
+    out = set()
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        with open(os.path.join(tokenizer_dir, name), "rb") as f:
+            for line in f:
+                token = base64.b64decode(line.split()[0])
+                if token[:1] == b" " and len(token) > 3:
+                    out.add(token[1:].decode("utf-8", "ignore"))
+    return frozenset(out)
+
+
+def _kind(low: str, words: frozenset[str]) -> str:
+    """c: a common word; p: only common with a capital, as names are; r: rare."""
+    return "c" if low in words else "p" if low.capitalize() in words else "r"
+
+
+def _word(w: str, words: frozenset[str]) -> tuple[int, list[str], list[str]]:
+    """Class, own features and neighbour features of a token."""
+    known, blunt = _UNKNOWN not in w, w[-1] == _BLUNT
+    w = unicodedata.normalize("NFC", w.rstrip(_MARKS))
     low = w.casefold()
+    known = known and low in KNOWN
     shape = re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", w))
     short = re.sub(r"(.)\1+", r"\1+", shape)
     if w[0].isdigit() and w.isdigit():
@@ -75,8 +110,6 @@ def _word(w: str) -> tuple[int, list[str], list[str]]:
         c = {"’": "'", "‑": "-", "–": "-"}.get(w, w if w in _C else "other")
     elif not w.isalpha():
         c = "mixed"
-    elif low in _GIVEN:
-        c = "given"
     elif low in _ORG:
         c = "org"
     elif low in _FORM:
@@ -87,13 +120,12 @@ def _word(w: str) -> tuple[int, list[str], list[str]]:
         c = "road"
     elif len(w) == 1 and w.isupper():
         c = "initial"
-    elif len(w) >= 5 and _FAMILY.search(low):
-        c = "family"
     else:
-        c = "upper" if w.isupper() else "cap" if w[0].isupper() else "lower"
-    generic = low if not any(ch.isdigit() for ch in low) else shape
+        c = ("upper" if w.isupper() else "cap" if w[0].isupper() else "lower") + ("" if known else _kind(low, words))
+    listed = known or c in ("org", "form", "road") or not w[0].isalnum()
+    generic = low if listed else shape if not w.isalpha() else short
     near = ["w" + generic, "c" + c, "s" + short]
-    own = near + ["e" + low[-3:], "E" + low[-4:], "b" + low[:2], "B" + low[:4], "S" + shape[:12], f"n{min(len(w), 9)}{c}", "z" + str(low in _GIVEN) + short]
+    own = near + ["e" if blunt else "e" + low[-3:], "f" if blunt else "f" + low[-2:], "S" + shape[:12], f"n{min(len(w), 9)}{c}", "k" + _kind(low, words) + short]
     return _C[c], own, near
 
 
@@ -102,68 +134,97 @@ def _hash(features: list[str], bits: int, width: int) -> list[int]:
     return (ids + [1 << bits] * width)[:width]  # the last weight is kept at zero
 
 
-OWN, NEAR = 10, 3
+OWN, NEAR = 8, 3
 _memo: dict[str, tuple] = {}
 
 
-def _word_ids(w: str) -> tuple:
+def _word_ids(w: str, tokenizer_dir: str = TOKENIZER_DIR) -> tuple:
     hit = _memo.get(w)
     if hit is None:
         if len(_memo) > 300_000:
             _memo.clear()
-        c, own, near = _word(w)
+        c, own, near = _word(w, _public_words(tokenizer_dir))
         hit = _memo[w] = (c, _hash(own, BITS[0], OWN), {b: _hash(near, b, NEAR) for b in {BITS[o] for o in OFFSETS if o}})
     return hit
 
 
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """For each character below 0x10000: 0 space, 1 part of a word, 2 combining mark, 3 sign of its own."""
+    return np.array([2 if 0x300 <= c < 0x370 else 0 if chr(c).isspace() or not c else 1 if chr(c).isalnum() else 3 for c in range(1 << 16)], np.int8)
+
+
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens, words with their combining marks or single signs, and the code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _marks()[np.minimum(points, 0xFFFF)]
+    for i in np.flatnonzero(points > 0xFFFF):
+        kind[i] = 1 if text[i].isalnum() else 3
+    before = np.concatenate([[0], kind[:-1]])
+    word = (kind == 1) | ((kind == 2) & ((before == 1) | (before == 2)))  # a mark after a space is a sign, those after it too
+    if (kind == 2).any():
+        word &= _attached(kind)
+    inside = word & np.concatenate([[False], word[:-1]])
+    start = np.flatnonzero((kind != 0) & ~inside)
+    last = np.concatenate([~inside[1:], [True]]) if len(kind) else inside
+    return start, np.flatnonzero((kind != 0) & last) + 1, points
+
+
+def _attached(kind: np.ndarray) -> np.ndarray:
+    """False for marks that follow no letter."""
+    base = np.where(kind != 2, np.arange(len(kind)), -1)
+    base = np.maximum.accumulate(base)
+    return (base >= 0) & (kind[np.maximum(base, 0)] == 1)
+
+
 class Batch:
     """Tokens of some texts with everything that their scores look up."""
 
-    def __init__(self, texts: list[str]):
-        vocab: dict[str, int] = {"\x00": 0}
-        self.stretches: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    def __init__(self, texts: list[str], drop: random.Random | None = None, tokenizer_dir: str = TOKENIZER_DIR):
+        vocab: dict[str, int] = {_UNKNOWN: 0}
         number = vocab.setdefault
-        word: list[int] = []
-        spans, doc, gap, cand = [], [], [], []
-        for d, text in enumerate(texts):
-            at = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
-            s, n = at[:, 0], len(at)
-            word += [number(w, len(vocab)) for w in TOKEN.findall(text)]
-            spans.append(at)
-            doc.append(n)
-            before = np.r_[0, at[:-1, 1]] if n else s
-            lines = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-            breaks = np.searchsorted(lines, s) - np.searchsorted(lines, before)
-            gap.append(np.where(s == before, 0, 1 + np.minimum(breaks, 2)))
-            flags = np.zeros((n, 5), np.int8)
-            for k, rx in enumerate(CANDIDATES):
-                if n and _ROUGH[k].search(text):
-                    for m in rx.finditer(text):
-                        self.stretches.setdefault((d, STRETCH_TYPES[k]), []).append(m.span())
-                        i, j = np.searchsorted(s, m.span())
-                        flags[i:j, k] = 1
-                        if i < n:
-                            flags[i, k] = 2
-            cand.append(flags)
-        self.n = len(word)
-        self.start, self.end = np.concatenate([np.zeros((0, 2), np.int64), *spans]).T
-        gap = np.concatenate([np.zeros(0, np.int64), *gap])
-        self.doc = np.repeat(np.arange(len(texts)), doc)
-        pad = np.zeros(3, np.int64)
+        whole = _BETWEEN.join(texts)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.begin = np.cumsum(size + len(_BETWEEN)) - size - len(_BETWEEN)
+        s, ends, points = tokens(whole)
+        self.start, self.end, self.n = s, ends, len(s)
+        self.doc = np.searchsorted(self.begin, s, "right") - 1
+        words = [whole[i:j] for i, j in zip(s.tolist(), ends.tolist())]
+        if drop:
+            words = [w + _UNKNOWN * (drop.random() < DROPPED) + _BLUNT * (drop.random() < NO_ENDING) if w[0].isalpha() else w for w in words]
+        word = [number(w, len(vocab)) for w in words]
+        first = np.ones(self.n, bool)
+        first[1:] = self.doc[1:] != self.doc[:-1]
+        before = np.concatenate([[0], ends[:-1]])[: self.n]
+        before[first] = self.begin[self.doc[first]]
+        lines = np.flatnonzero(points == 10)
+        breaks = np.searchsorted(lines, s) - np.searchsorted(lines, before)
+        gap = np.where(s == before, 0, 1 + np.minimum(breaks, 2))
+        cand = np.zeros((self.n, 5), np.int8)
+        self.stretches: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for k, rx in enumerate(CANDIDATES):
+            found = np.array([m.span() for m in rx.finditer(whole)], np.int64).reshape(-1, 2)
+            i, j = np.searchsorted(s, found[:, 0]), np.searchsorted(s, found[:, 1])
+            step = np.zeros(self.n + 1, np.int64)
+            np.add.at(step, i, 1)
+            np.add.at(step, j, -1)
+            cand[:, k] = np.cumsum(step)[:-1] > 0
+            cand[i[i < self.n], k] = 2
+            for d, span in zip((np.searchsorted(self.begin, found[:, 0], "right") - 1).tolist(), found.tolist()):
+                self.stretches.setdefault((d, STRETCH_TYPES[k]), []).append(tuple(span))
         gaps = 3  # empty places between texts, so that neighbours never cross
         place = np.arange(self.n) + self.doc * gaps + 3
         size = self.n + len(texts) * gaps + 6
         padded = np.zeros(size, np.int64)
         padded[place] = word
         self.words = {o: padded[place + o] for o in OFFSETS}
-        known = [_word_ids(w) if i else (0, [1 << BITS[0]] * OWN, {b: [1 << b] * NEAR for b in {BITS[o] for o in OFFSETS if o}}) for w, i in vocab.items()]
+        known = [_word_ids(w, tokenizer_dir) if i else (0, [1 << BITS[0]] * OWN, {b: [1 << b] * NEAR for b in {BITS[o] for o in OFFSETS if o}}) for w, i in vocab.items()]
         self.own = np.array([k[1] for k in known], np.int64)
         self.near = {b: np.array([k[2][b] for k in known], np.int64) for b in {BITS[o] for o in OFFSETS if o}}
         cls = np.array([k[0] for k in known])[padded]
         at = lambda o: cls[place + o]
         self.triples = [at(a) * NC * NC + at(b) * NC + at(c) for a, b, c in ((-1, 0, 1), (0, 1, 2), (-2, -1, 0), (1, 2, 3))]
-        flags = np.concatenate(cand) if cand else np.zeros((0, 5), np.int8)
-        code = flags @ np.array([1, 3, 9, 27, 81])
+        code = cand @ np.array([1, 3, 9, 27, 81])
         pc = np.zeros(size, np.int64)
         pc[place] = code
         gp = np.zeros(size, np.int64)
@@ -171,8 +232,6 @@ class Batch:
         self.codes = [pc[place + o] for o in (-1, 0, 1)] + [pc[place] * 4 + gp[place]]
         self.gaps = gp[place] * 4 + gp[place + 1]
         self.gap, self.cls, self.code = gap, at(0), code
-        self.cls_near = (at(-1), at(1))
-        del pad
 
     def sequences(self) -> np.ndarray:
         """For each token whether a stretch begins there: a new text, a blank line, or a new sentence."""
@@ -263,44 +322,45 @@ def _expected(e: np.ndarray, col: np.ndarray, row: np.ndarray, length: np.ndarra
     return post, pair
 
 
-def train(rows: list[str], steps: int = 130, rate: float = 0.05, l2: float = 1e-5) -> dict[str, np.ndarray]:
-    """Maximum likelihood of the marked rows."""
-    texts, spans = zip(*map(unmark, rows))
-    b = Batch(list(texts))
-    gold = np.zeros(b.n, np.int64)
-    begin = np.searchsorted(b.doc, np.arange(len(texts) + 1))
-    for d, s in enumerate(spans):
-        lo, hi = begin[d], begin[d + 1]
-        for kind, i, j in s:
-            x, y = lo + np.searchsorted(b.start[lo:hi], i), lo + np.searchsorted(b.start[lo:hi], j)
-            k = 1 + 2 * TYPES.index(kind)
-            gold[x:y] = k + 1
-            gold[x] = k
-    row, col, n, _ = _grid(b.sequences())
-    size = np.bincount(row, minlength=n)
-    groups = []  # sequences of like length, so that little of each grid is empty
-    for lo, hi in zip((0, 6, 12, 24, 48, 96), (6, 12, 24, 48, 96, 1 << 30)):
-        mine = np.flatnonzero((size > lo) & (size <= hi))
-        if len(mine):
-            rank = np.full(n, -1)
-            rank[mine] = np.arange(len(mine))
-            tokens = np.flatnonzero(rank[row] >= 0)
-            groups.append((tokens, col[tokens], rank[row[tokens]], size[mine]))
-    w, m1, m2 = _tables(), _tables(), _tables()
-    w["bias"][0] = np.log((np.bincount(gold, minlength=L) + 1) / len(gold))  # so that frequent features needn't learn it
-    one = np.eye(L, dtype=np.float32)[gold]
-    prev = np.flatnonzero(col > 0)
-    gold_trans = np.bincount(gold[prev - 1] * L + gold[prev], minlength=L * L).reshape(L, L)
-    for step in range(1, steps + 1):
+class _Part:
+    """A share of the labelled rows, ready for gradients of the likelihood."""
+
+    def __init__(self, rows: list[str], drop: random.Random):
+        texts, spans = zip(*map(unmark, rows))
+        b = self.b = Batch(list(texts), drop)
+        gold = np.zeros(b.n, np.int64)
+        for d, s in enumerate(spans):
+            at = b.begin[d]
+            for kind, i, j in s:
+                x, y = np.searchsorted(b.start, at + i), np.searchsorted(b.start, at + j)
+                k = 1 + 2 * TYPES.index(kind)
+                gold[x:y] = k + 1
+                gold[x] = k
+        row, col, n, _ = _grid(b.sequences())
+        size = np.bincount(row, minlength=n)
+        self.n, self.groups = n, []  # sequences of like length, so that little of each grid is empty
+        for lo, hi in zip((0, 6, 12, 24, 48, 96), (6, 12, 24, 48, 96, 1 << 30)):
+            mine = np.flatnonzero((size > lo) & (size <= hi))
+            if len(mine):
+                rank = np.full(n, -1)
+                rank[mine] = np.arange(len(mine))
+                tokens = np.flatnonzero(rank[row] >= 0)
+                self.groups.append((tokens, col[tokens], rank[row[tokens]], size[mine]))
+        self.one = np.eye(L, dtype=np.float32)[gold]
+        prev = np.flatnonzero(col > 0)
+        self.trans = np.bincount(gold[prev - 1] * L + gold[prev], minlength=L * L).reshape(L, L)
+
+    def gradient(self, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        b = self.b
         e = emissions(w, b)
         e = np.exp(e - e.max(axis=1, keepdims=True))
         trans = np.exp(w["trans"]) * ALLOWED
-        g, pair = -one, np.zeros((L, L))
-        for tokens, c, r, length in groups:
+        g, pair = -self.one, np.zeros((L, L))
+        for tokens, c, r, length in self.groups:
             post, p = _expected(e[tokens], c, r, length, trans)
             g[tokens] += post
             pair += p
-        grads = {"trans": (pair - gold_trans).astype(np.float32), "bias": g.sum(axis=0, keepdims=True)}
+        grads = {"trans": (pair - self.trans).astype(np.float32), "bias": g.sum(axis=0, keepdims=True)}
         for k, x in _lookups(b):
             grads[k] = _scatter(x, g, len(w[k]))
         for o in OFFSETS:
@@ -308,19 +368,35 @@ def train(rows: list[str], steps: int = 130, rate: float = 0.05, l2: float = 1e-
             per = _scatter(b.words[o], g, len(ids))
             grads[f"o{o}"] = _scatter(ids.ravel(), np.repeat(per, ids.shape[1], axis=0), len(w[f"o{o}"]))
             grads[f"o{o}"][-1] = 0
-        lr = rate * (1 if step < steps * 0.6 else 0.3)
+        return grads
+
+
+def train(rows: list[str], steps: int = 240, parts: int = 4, rate: float = 0.04, l2: float = 1e-5) -> dict[str, np.ndarray]:
+    """Maximum likelihood of the marked rows, by Adam over parts of them; each part stands in two
+    drafts, from which other words are hidden."""
+    batches = [_Part(rows[i::parts], random.Random(seed * parts + i)) for seed in range(2) for i in range(parts)]
+    w, m1, m2 = _tables(), _tables(), _tables()
+    seen = sum(p.one.sum(axis=0) for p in batches)
+    w["bias"][0] = np.log((seen + 1) / seen.sum())  # so that frequent features needn't learn it
+    mean, last = _tables(), 2 * len(batches)
+    for step in range(1, steps + 1):
+        part = batches[step % len(batches)]
+        grads = part.gradient(w)
+        lr = rate * (1 if step < steps * 0.6 else 0.4)
         for k in w:
-            d = grads[k] / n + (l2 if k[0] == "o" else l2 / 6 if k[0] == "t" else l2 / 60) * w[k]
+            d = grads[k] / part.n + (l2 if k[0] == "o" else l2 / 6 if k[0] == "t" else l2 / 60) * w[k]
             m1[k] = 0.9 * m1[k] + 0.1 * d
             m2[k] = 0.99 * m2[k] + 0.01 * d * d
             w[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)
             if k in {f"o{o}" for o in OFFSETS}:
                 w[k][-1] = 0
-    return w
+            if step > steps - last:
+                mean[k] += w[k] / last
+    return mean
 
 
 @lru_cache(maxsize=2)
-def default_weights(rows: int = 2600, seed: int = 11) -> dict[str, np.ndarray]:
+def default_weights(rows: int = 6000, seed: int = 11) -> dict[str, np.ndarray]:
     return train(labelled_rows(rows, seed))
 
 
@@ -361,8 +437,13 @@ def viterbi(w: dict[str, np.ndarray], b: Batch, width: int = 400_000) -> np.ndar
 _KINDS_DOT = re.compile(r"\b(?:st|rd|ave|ln|dr|ct|blvd|pl|ter)$", re.I)
 
 
+_LAST_INITIAL = re.compile(r"^\w.*\s[A-ZÀ-Þ]\.$", re.S)
+
+
 def _exact(kind: str, text: str, i: int, j: int) -> tuple[int, int]:
     """The exact end of a found span: an abbreviated street keeps its full stop, other marks go."""
+    if kind == "NAME" and _LAST_INITIAL.search(text[i:j]):
+        return i, j
     while j > i and (text[j - 1].isspace() or text[j - 1] in ".,;:-'’\"|/&<>" or text[j - 1] == ")" and "(" not in text[i:j]):
         j -= 1
     while i < j and (text[i].isspace() or text[i] in ".,;:-'’\"|/&<>)" or text[i] == "(" and ")" not in text[i:j]):
@@ -375,19 +456,49 @@ def _exact(kind: str, text: str, i: int, j: int) -> tuple[int, int]:
 
 
 def _names(text: str, i: int, j: int) -> list[tuple[int, int]]:
-    """A family name and a given name may stand around a comma; with more behind it, it parts two names."""
+    """A family name and a given name may stand around a comma; with more behind it, it parts two names.
+    Before a colon a name is a label, which begins with its line."""
+    line = text.rfind("\n", i, j)
+    if line > 0 and text[j : j + 1] == ":":
+        i = line + 1
     comma = text.find(",", i, j)
-    if comma > 0 and len(text[comma + 1 : j].split()) > 1:
+    if comma > 0 and sum(len(w.rstrip(".")) > 1 for w in text[comma + 1 : j].split()) > 1:
         return [(i, comma), (comma + 1, j)]
     return [(i, j)]
 
 
-def find_spans(w: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[str, int, int]]]:
+_BEFORE = re.compile(r"(?:^|[^\w])(" + "|".join(sorted({re.escape(f.rstrip(".")) for f in FORMS}, key=len, reverse=True)) + r")\.?\s$", re.I)
+
+
+_AFTER = re.compile(r"(?:\s(?:&\s)?[^\W\d_a-z][\w-]+){0,2}?\s?(?:,\s)?(?:" + "|".join(map(re.escape, sorted(LEGAL, key=len, reverse=True))) + r")(?!\w)")
+_ELIDED = re.compile(r"(?:qu|[ljnmtsc])['’][a-zà-ÿ]", re.I)
+_SMALL = {w for p in PARTICLES for w in p.casefold().split()} | {"del", "dos", "das", "do", "du", "y", "e", "zu", "den", "ten", "ter", "bin", "ibn", "los", "las"}
+
+
+def _possible(kind: str, text: str, i: int, j: int, written: bool) -> bool:
+    """Whether a found span can be of its type: numbers and addresses of mail need their writing, a
+    name two words with capitals (particles aside) or all in small letters, or one after a form of
+    address, and no legal form of a company behind it."""
+    if kind in ("EMAIL", "PHONE", "ID_NUMBER"):
+        return written
+    span = text[i:j]
+    if kind == "ADDRESS":
+        return written or any(ch.isdigit() for ch in span)
+    if text[i - 1 : i] == "_" or any(ch.isdigit() or ch in "_@/|:;()[]{}<>=&\"" for ch in span) or _AFTER.match(text, j):
+        return False
+    words = span.split()
+    capital = [w for w in words if w[0].isupper() and not _ELIDED.match(w)]
+    if capital and any(w[0].islower() and w.casefold() not in _SMALL and not w.startswith(("al-", "d'", "d’")) for w in words):
+        return False
+    return len(capital or words) > 1 or bool(_BEFORE.search(text[max(0, i - 12) : i]))
+
+
+def find_spans(w: dict[str, np.ndarray], texts: list[str], tokenizer_dir: str = TOKENIZER_DIR) -> list[list[tuple[str, int, int]]]:
     """(type, start, end) of each text, in order and without overlap.
 
     Where a found span meets stretches written like its type, their exact limits are taken.
     """
-    b = Batch(texts)
+    b = Batch(texts, tokenizer_dir=tokenizer_dir)
     tags = viterbi(w, b)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     hit = np.flatnonzero(tags)
@@ -398,10 +509,12 @@ def find_spans(w: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[st
     for x, y in zip(starts, np.append(starts[1:], len(hit))):
         first, last = hit[x], hit[y - 1]
         d, kind = int(b.doc[first]), TYPES[(tags[first] - 1) // 2]
+        at = int(b.begin[d])
         i, j = int(b.start[first]), int(b.end[last])
-        written = [c for c in b.stretches.get((d, kind), ()) if c[0] < j and c[1] > i]
+        written = [(c[0] - at, c[1] - at) for c in b.stretches.get((d, kind), ()) if c[0] < j and c[1] > i]
+        i, j = i - at, j - at
         for i, j in written or (_names(texts[d], i, j) if kind == "NAME" else [(i, j)]):
             i, j = _exact(kind, texts[d], i, j)
-            if j > i and not (out[d] and out[d][-1][2] > i):
+            if j > i and _possible(kind, texts[d], i, j, bool(written)) and not (out[d] and out[d][-1][2] > i):
                 out[d].append((kind, i, j))
     return out
