@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The own folder is only made where the cluster names none, which is the case of local tests.
+    Where the session names none, a local master (its tasks run in this process) gets a folder of its
+    own; any other raises an error, as its executors couldn't read each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     ctx = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", ctx.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(ctx, "_tallyweave_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
@@ -60,6 +64,13 @@ class Scratch:
         out._tallyweave_path = path
         return out
 
+    def put_counted(self, df: DataFrame, name: str = "t", **counts) -> tuple[DataFrame, dict[str, int]]:
+        """As :meth:`put`, with the number of rows (``n``) and other aggregates found while writing."""
+        seen = Observation()
+        rest = [c.alias(k) for k, c in counts.items()]
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n"), *rest), name)
+        return out, seen.get
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete scratch tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
