@@ -5,8 +5,8 @@ vertices with two neighbours are compressed to one edge between their ends by li
 direction through a vertex is a list element pointing to the next, and pointers double until they
 reach the end of the chain (a closed ring is recognised by its smallest vertex). Vertices with one
 neighbour are then stripped. Trees vanish in a logarithmic number of rounds, whatever their depth.
-When stripping stops paying, what is left is the core: a bounded core is solved by one task, a larger
-one by hooking every vertex to its smallest neighbour and contracting, after which stripping goes on.
+When stripping stops paying, what is left is the core: every vertex of it is hooked to its smallest
+neighbour and the stars are contracted, after which stripping goes on. It is the same at every size.
 Removed vertices keep a pointer to a vertex that stayed longer; doubling those pointers restores the
 labels.
 
@@ -17,37 +17,15 @@ a vertex with a third of all links is no hot spot.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.sources.tables import Scratch, salted_lookup
 
-#: Edges up to which the core is solved in one task (about 50 MB there).
-CORE_EDGES = 200_000
 #: A round that removes a smaller share of the edges than this ends the stripping.
 WORTHWHILE = 0.15
 
 
-def _lowest(core: pd.DataFrame) -> pd.DataFrame:
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while (up := root.setdefault(top, top)) != top:
-            top = up
-        while x != top:
-            root[x], x = top, root[x]
-        return top
-
-    for u, v in zip(core["u"].tolist(), core["v"].tolist()):
-        a, b = find(u), find(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    pairs = [(x, find(x)) for x in list(root)]
-    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["x", "parent"], dtype="int64")
-
-
 def _ordered(a: str | Column, b: str | Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
@@ -66,18 +44,17 @@ def rank_lists(scratch: Scratch, chain: DataFrame) -> tuple[DataFrame, bool]:
     live (in a ring, which has no end), and whether there are any.
     """
     one = lambda p, w: F.struct(F.col(p).alias("p"), F.col("x").alias("v"), F.col("x").alias("q"), F.col(w).alias("w"))
-    arcs = scratch.put(chain.select(F.explode(F.array(one("lo", "hi"), one("hi", "lo"))).alias("a"), "x").select("a.*", F.lit(1).cast("bigint").alias("rank"), F.col("x").alias("m"), F.lit(True).alias("live"), F.lit(False).alias("same")), "arcs")
-    if arcs.isEmpty():
+    arcs, seen = scratch.put_counted(chain.select(F.explode(F.array(one("lo", "hi"), one("hi", "lo"))).alias("a"), "x").select("a.*", F.lit(1).cast("bigint").alias("rank"), F.col("x").alias("m"), F.lit(True).alias("live"), F.lit(False).alias("same")), "arcs")
+    if not seen["n"]:
         return arcs, False
     while True:
         to = arcs.select(F.col("p").alias("q"), F.col("v").alias("w"), F.col("q").alias("nq"), F.col("w").alias("nw"), F.col("rank").alias("nr"), F.col("m").alias("nm"))
         went = arcs.filter("live").join(to, ["q", "w"], "left").select("p", "v", F.coalesce("nq", "q").alias("q"), F.coalesce("nw", "w").alias("w"), (F.col("rank") + F.coalesce("nr", F.lit(0))).alias("rank"), F.least("m", "nm").alias("m"), F.col("nw").isNotNull().alias("live"), F.coalesce(F.col("m") == F.col("nm"), F.lit(False)).alias("same"))
-        new = scratch.put(went.unionByName(arcs.filter("not live")), "arcs")
+        new, seen = scratch.put_counted(went.unionByName(arcs.filter("not live")), "arcs", live=F.count_if("live"), moving=F.count_if(F.expr("live and not same")))
         scratch.drop(arcs)
         arcs = new
-        left = arcs.filter("live").agg(F.count(F.lit(1)), F.count(F.when(~F.col("same"), 1))).first()
-        if left[1] == 0:
-            return arcs, left[0] > 0
+        if not seen["moving"]:
+            return arcs, seen["live"] > 0
 
 
 def _round(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -104,21 +81,17 @@ def _round(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, list[DataFram
     return kept, removed
 
 
-def _root(scratch: Scratch, parents: DataFrame, steps: int | None = None) -> DataFrame:
-    """x, parent with parent a root, by doubling; stops when nothing moves or after the steps given."""
-    done = 0
-    while steps is None or done < steps:
-        total = parents.count()
+def _root(scratch: Scratch, parents: DataFrame, total: int) -> DataFrame:
+    """x, parent with parent a root, by doubling until nothing moves. total: the rows of parents, a stored table."""
+    while True:
         weights = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
         up = parents.select(F.col("x").alias("parent"), F.col("parent").alias("up")).join(weights, "parent")
         moved = salted_lookup(parents, up, ["parent"], "_n", F.col("x"), total, "left")
-        new = scratch.put(moved.select("x", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "pointers")
-        still = not new.filter("moved").isEmpty()
+        new, seen = scratch.put_counted(moved.select("x", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "pointers", moved=F.count_if("moved"))
+        scratch.drop(parents)
         parents = new.drop("moved")
-        done += 1
-        if not still:
-            break
-    return parents
+        if not seen["moved"]:
+            return parents
 
 
 def _relabel(edges: DataFrame, roots: DataFrame, total: int) -> DataFrame:
@@ -129,31 +102,29 @@ def _relabel(edges: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     return edges.filter("u != v").select(*_ordered("u", "v")).distinct()
 
 
-def group_roots(scratch: Scratch, edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame | None:
+def group_roots(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """edges: distinct u < v (bigint). Gives x, parent for every vertex but one in each group."""
-    edges = scratch.put(edges, "edges")
-    size, removed = edges.count(), []
+    edges, seen = scratch.put_counted(edges, "edges")
+    size, removed = seen["n"], []
     while size:
         kept, gone = _round(scratch, edges)
-        kept = scratch.put(kept, "edges")
+        kept, seen = scratch.put_counted(kept, "edges")
         removed += gone
-        before, size, edges = size, kept.count(), kept
+        before, size, edges = size, seen["n"], kept
         if not size or before - size >= WORTHWHILE * before:
             continue
-        if size <= core_edges:
-            removed.append(edges.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_lowest, "x bigint, parent bigint"))
-            break
-        hooks = scratch.put(_neighbours(edges).filter("lo < x").select("x", F.col("lo").alias("parent")), "hooks")
-        roots = _root(scratch, hooks)
+        hooks, seen = scratch.put_counted(_neighbours(edges).filter("lo < x").select("x", F.col("lo").alias("parent")), "hooks")
+        roots = _root(scratch, hooks, seen["n"])
         removed.append(roots)
-        edges = scratch.put(_relabel(edges, roots, size), "edges")
-        size = edges.count()
+        edges, seen = scratch.put_counted(_relabel(edges, roots, size), "edges")
+        size = seen["n"]
     if not removed:
         return None
     parents = removed[0]
     for r in removed[1:]:
         parents = parents.unionByName(r)
-    return _root(scratch, scratch.put(parents, "parents"))
+    parents, seen = scratch.put_counted(parents, "parents")
+    return _root(scratch, parents, seen["n"])
 
 
 def _hashed(spark: SparkSession, scratch: Scratch, links: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +137,7 @@ def _hashed(spark: SparkSession, scratch: Scratch, links: DataFrame, a: str, b:
     raise RuntimeError("ids collide under every seed")
 
 
-def link_groups(spark: SparkSession, links: DataFrame, a: str, b: str, core_edges: int = CORE_EDGES) -> DataFrame:
+def link_groups(spark: SparkSession, links: DataFrame, a: str, b: str) -> DataFrame:
     """id, group_id: every id of a link with both sides, with the smallest id of its group (byte order).
 
     Repeated links, exchanged sides and links of an id with itself count as they say; an id that is
@@ -176,9 +147,9 @@ def link_groups(spark: SparkSession, links: DataFrame, a: str, b: str, core_edge
     scratch = Scratch(spark, "groups")
     whole = scratch.put(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), "links")
     ids, edges = _hashed(spark, scratch, whole, "a", "b")
-    roots = group_roots(scratch, edges, core_edges)
+    roots = group_roots(scratch, edges)
     if roots is None:
         return ids.select("id", F.col("id").alias("group_id"))
-    rooted = scratch.put(ids.join(roots, "x", "left").select("id", F.coalesce("parent", "x").alias("root")), "rooted")
+    rooted, seen = scratch.put_counted(ids.join(roots, "x", "left").select("id", F.coalesce("parent", "x").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("_n"))
-    return salted_lookup(rooted, groups, ["root"], "_n", F.col("id"), rooted.count()).select("id", "group_id")
+    return salted_lookup(rooted, groups, ["root"], "_n", F.col("id"), seen["n"]).select("id", "group_id")

@@ -7,7 +7,8 @@ pre-aggregated and joined by equality. What lies in the three buckets is then fu
 point closer than the reach of the three buckets is proven and accepted. Unresolved left points go
 to buckets of double width: their own bucket and its sibling were already seen, so again only the
 extreme points of the two adjacent buckets are joined. It ends when the width reaches the tolerance.
-No step forms all pairs of a key, and a frequent key is spread over its time buckets.
+No step forms all pairs of a key, and a frequent key is spread over its time buckets. The finest
+width follows from the densest bucket, so a bucket's rows don't grow with the table.
 """
 
 from __future__ import annotations
@@ -35,27 +36,36 @@ def _proven(d: Column, t: Column, width: int) -> Column:
     return d < F.least(t - (b - width - 1), (b + 2 * width) - t)
 
 
-def nearest_points(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, levels: int = 6) -> DataFrame:
+def _levels(points: DataFrame, keys: list[str], t: str, tolerance: int, per_bucket: int, least: int) -> int:
+    """The number of doublings from the finest width to the tolerance: at least ``least``, and so many
+    that no bucket of the finest width has more than ``per_bucket`` points."""
+    levels = least
+    while True:
+        width = max(1, -(-tolerance // 2 ** (levels - 1)))
+        most = points.groupBy(*keys, _bucket(F.col(t), width).alias("b")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= per_bucket or width == 1:
+            return levels
+        levels += max(1, (most // per_bucket).bit_length() - 1)
+
+
+def nearest_points(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, least_levels: int = 4, per_bucket: int = 2_000) -> DataFrame:
     """Distinct left points with ``lo`` and ``hi``: the times of their nearest right points.
 
     Of lo (at or before) and hi (after) only the nearer one is set, both if they are equally near.
     Left points with nothing within the tolerance, and null keys or times, are left out.
     """
     scratch = Scratch(spark, "rings")
-    width = max(1, -(-tolerance // 2**(levels - 1)))
     whole = [F.col(k).isNotNull() for k in [*keys, t]]
     points = lambda df: df.filter(reduce(lambda a, b: a & b, whole)).select(*keys, t).distinct()
-    both = points(left).withColumn("side", F.lit(0)).unionByName(points(right).withColumn("side", F.lit(1)))
-    # own bucket: the right points around each left point, from one sort
+    both = scratch.put(points(left).withColumn("side", F.lit(0)).unionByName(points(right).withColumn("side", F.lit(1))), "points")
+    levels = _levels(both, keys, t, tolerance, per_bucket, least_levels)
+    width = max(1, -(-tolerance // 2 ** (levels - 1)))
+    # own bucket: the last right point at or before each left point, and the first at or after it; both
+    # frames only grow from their start, so a bucket costs what its sorting costs
     own = both.withColumn("b", _bucket(F.col(t), width))
-    w = Window.partitionBy(*keys, "b").orderBy(t, F.col("side").desc())
     right_t = F.when(F.col("side") == 1, F.col(t))
-    seen = own.withColumns(
-        {
-            "lo": F.last(right_t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "hi": F.first(right_t, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
+    until = lambda o: Window.partitionBy(*keys, "b").orderBy(o, F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = own.withColumn("lo", F.last(right_t, ignorenulls=True).over(until(F.col(t).asc()))).withColumn("hi", F.last(right_t, ignorenulls=True).over(until(F.col(t).desc())))
     seen = scratch.put(seen, "own-buckets")
     ends = scratch.put(seen.filter("side = 1").groupBy(*keys, "b").agg(F.min(t).alias("first"), F.max(t).alias("last")), "ends")
     open_ = seen.filter("side = 0").select(*keys, t, "lo", "hi")
@@ -78,15 +88,16 @@ def nearest_points(spark: SparkSession, left: DataFrame, right: DataFrame, keys:
     return out.select(*keys, t, F.when(F.col(t) - F.col("lo") == F.col("d"), F.col("lo")).alias("lo"), F.when(F.col("hi") - F.col(t) == F.col("d"), F.col("hi")).alias("hi"))
 
 
-def match_nearest(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], time: str, id_: str, tolerance_s: int, levels: int = 6) -> DataFrame:
+def match_nearest(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], time: str, id_: str, tolerance_s: int, least_levels: int = 4, per_bucket: int = 2_000) -> DataFrame:
     """left_id, right_id: each left row with the right row nearest in time among equal keys.
 
     Of equally near right rows the smallest id is taken; a right row can serve many left rows.
     Left rows with nothing within the tolerance (inclusive), or with a null key, time or id, are
-    left out; repeated rows count once. Only id, keys and time of the inputs are used.
+    left out; repeated rows count once. Only id, keys and time of the inputs are used. There are at
+    least ``least_levels`` rings, more where a bucket would have more than ``per_bucket`` points.
     """
     slim = lambda df, name: df.filter(F.col(id_).isNotNull() & F.col(time).isNotNull()).select(*keys, F.unix_micros(time).alias("t"), F.col(id_).alias(name))
     a, b = slim(left, "left_id"), slim(right, "right_id").groupBy(*keys, "t").agg(F.min("right_id").alias("right_id"))
-    near = nearest_points(spark, a, b, keys, "t", tolerance_s * 1_000_000, levels)
+    near = nearest_points(spark, a, b, keys, "t", tolerance_s * 1_000_000, least_levels, per_bucket)
     chosen = near.withColumn("rt", F.explode(F.array_compact(F.array("lo", "hi")))).join(b.withColumnRenamed("t", "rt"), [*keys, "rt"]).groupBy(*keys, "t").agg(F.min("right_id").alias("right_id"))
     return a.join(chosen, [*keys, "t"]).select("left_id", "right_id").distinct()

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -18,9 +19,23 @@ def test_nearest_equals_brute_force(spark):
         if near:
             want.add((i, min(near)[1]))
     assert got == want and ("a900", "b900") in got
+    dense = {tuple(x) for x in match_nearest(spark, df.filter("side = 'a'"), df.filter("side = 'b'"), ["k"], "t", "id", 3600, 1, 3).collect()}
+    assert dense == want
     assert match_nearest(spark, df.limit(0), df, ["k"], "t", "id", 3600).count() == 0
 
 
+def test_one_dense_key_costs_in_proportion(spark):
+    def seconds(n):
+        side = lambda s, shift: spark.range(n).select(F.concat(F.lit(s), "id").alias("id"), F.lit("x").alias("k"), F.timestamp_micros(F.col("id") * 1_000 + shift).alias("t"))
+        began = time.time()
+        rows = match_nearest(spark, side("a", 0), side("b", 300), ["k"], "t", "id", 36 * 3600)
+        assert rows.filter(F.substring("left_id", 2, 20) == F.substring("right_id", 2, 20)).count() == n
+        return time.time() - began
+
+    seconds(1_000)
+    assert seconds(160_000) < 8 * seconds(20_000)
+
+
 def brute(links):
     up = {}
 
@@ -49,9 +64,7 @@ def test_chains_rings_stars_and_trees(spark):
     assert groups(spark, []) == {}
 
 
-def test_dense_core_both_ways(spark):
+def test_dense_core(spark):
     r = random.Random(8)
     links = [(f"d{r.randrange(40)}", f"d{r.randrange(40)}") for _ in range(220)] + [(f"v{r.randrange(150)}", f"v{r.randrange(150)}") for _ in range(150)]
-    want = brute(links)
-    assert groups(spark, links) == want
-    assert groups(spark, links, core_edges=5) == want
+    assert groups(spark, links) == brute(links)
