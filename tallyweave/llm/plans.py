@@ -39,24 +39,25 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
-def _mix(spark: SparkSession, sf_dir: str, strict: bool) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, tempering: bool) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = token_counts(spark, docs).join(docs.select("doc_id", "source"), "doc_id")
-    sized = Scratch(spark, "sized").put(sized, "sized")
-    corpus = sized.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
-    return mix_sources(spark, sized, table(spark, sf_dir, "mix_targets"), strict=strict, corpus_tokens=corpus)
+    sized, seen = Scratch(spark, "sized").put_counted(token_counts(spark, docs, keep=["source"]), "sized", tokens=F.sum("n_tokens"))
+    corpus = seen["tokens"] or 0
+    return mix_sources(spark, sized, table(spark, sf_dir, "mix_targets"), tempering=tempering, corpus_tokens=corpus)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, True)[0]
+    return _mix(spark, sf_dir, False)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, True)[1]
+    """What the draws of p7_mix make of each target."""
+    return _mix(spark, sf_dir, False)[1]
 
 
 def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir, False)[1]
+    """The same where token shares to a power, of the targets' entropy, take the targets' place."""
+    return _mix(spark, sf_dir, True)[1]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
