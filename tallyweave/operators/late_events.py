@@ -67,12 +67,14 @@ def combine(parts: DataFrame, group: list[str], measures: list[str]) -> DataFram
     return parts.groupBy(*group, "day").agg(*out)
 
 
-def merge_partials(store: DataFrame, arriving: DataFrame, group: list[str], measures: list[str], now: Column, cut: Cutoffs = Cutoffs()) -> tuple[DataFrame, DataFrame]:
-    """Add arriving partials to the store; those whose period is closed at ``now`` are refused.
+def merge_partials(store: DataFrame, arriving: DataFrame, group: list[str], measures: list[str], cut: Cutoffs = Cutoffs()) -> tuple[DataFrame, DataFrame]:
+    """Add arriving partials to the store; those that arrived when their period was closed are refused.
 
-    Gives (new store, refused). Merging in any order or grouping of batches gives the same store.
+    Gives (new store, refused). A partial's own arrival hour decides, not the time of merging, so
+    merging in any order or grouping of batches gives the same store and the same refused partials.
+    Refused ones carry the fate ``dropped`` and are counted by :func:`combine` when read with the store.
     """
-    closed = F.unix_seconds(now) >= F.unix_seconds(F.col("day").cast("timestamp")) + 86_400 + cut.close_after * 3600
-    fresh = arriving.filter(~closed)
-    both = store.unionByName(fresh).groupBy(*group, "day", "slot", "fate").agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures])
-    return both, arriving.filter(closed)
+    fate = cut.fate(F.col("day"), F.col("slot"))
+    judged = arriving.withColumn("fate", fate)
+    add = lambda df: df.groupBy(*group, "day", "slot", "fate").agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in measures])
+    return add(store.unionByName(judged.filter("fate <> 'dropped'"))), add(judged.filter("fate = 'dropped'"))

@@ -55,13 +55,18 @@ def _corrections(rec: DataFrame, events: DataFrame) -> DataFrame:
     return old.join(pairs, "reconciliation_id").filter(F.size(F.array_except("late", "had")) > 0).select("reconciliation_id").distinct()
 
 
+def _stored(scratch: Scratch, events: DataFrame, sums: dict) -> tuple[DataFrame, DataFrame]:
+    """The partials of events merged into a new store, and the refused ones; both as tables."""
+    arriving = scratch.put(partials(events, ["source_id"], sums), "arriving")
+    store, refused = merge_partials(arriving.limit(0), arriving, ["source_id"], list(sums))
+    return scratch.put(store, "store"), scratch.put(refused, "refused")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fates by the stored partials: what merging at the arrival hour takes or refuses decides for its records."""
     scratch = Scratch(spark, "late")
     events = scratch.put(_p2_events(spark, sf_dir).select("canonical_id", "source_id", "day", "slot", "fate"), "events")
-    arriving = scratch.put(partials(events, ["source_id"], {}), "arriving")
-    store, refused = merge_partials(arriving.limit(0), arriving, ["source_id"], [], F.col("slot"))
-    store, refused = scratch.put(store, "store"), scratch.put(refused, "refused")
+    store, refused = _stored(scratch, events, {})
     periods = store.filter("fate = 'late'").select("source_id", "day", "slot", "fate").unionByName(refused.select("source_id", "day", "slot", F.lit("dropped").alias("fate")))
     e, p = events.drop("fate").alias("e"), periods.alias("p")
     same = F.col("e.source_id").eqNullSafe(F.col("p.source_id")) & (F.col("e.day") == F.col("p.day")) & (F.col("e.slot") == F.col("p.slot"))
@@ -92,7 +97,8 @@ def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     known = events.join(per, "canonical_id", "left")
     sums = {"amount": F.col("amount")} | {o.lower(): F.when(F.col("outcome_now") == o, 1).otherwise(0) for o in OUTCOMES} | {f"first_{o.lower()}": F.when((F.col("fate") == "on_time") & (F.col("outcome_then") == o), 1).otherwise(0) for o in OUTCOMES}
-    daily = combine(partials(known, ["source_id"], sums), ["source_id"], list(sums))
+    store, refused = _stored(scratch, known, sums)
+    daily = combine(store.unionByName(refused), ["source_id"], list(sums))
     keep = {"source_id": "source_id", "day": "day", "n_published": "n_published", "n_corrected": "n_corrected", "n_dropped": "n_dropped", "amount_published": "amount_published", "amount_corrected": "amount_corrected", "amount_dropped": "amount_dropped"}
     keep |= {f"first_{o.lower()}_published": f"{o.lower()}_published" for o in OUTCOMES} | {f"{o.lower()}_corrected": f"{o.lower()}_corrected" for o in OUTCOMES}
     return daily.select(*[F.col(k).alias(v) for k, v in keep.items()])
@@ -113,9 +119,9 @@ def pending_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "instants")
     rows = scratch.put(pending_values(spark, sf_dir).filter(F.col("value").isNotNull()), "pending")
-    known, last, done = InstantDictionary(spark, f"{scratch.root}/dictionary"), rows.agg(F.max("seq").alias("n")).first()["n"] or 0, None
+    known, last, done = InstantDictionary(spark), rows.agg(F.max("seq").alias("n")).first()["n"] or 0, None
     second = F.coalesce(F.col("seq") > last // 2, F.lit(False))
-    for batch in (~second, second):  # as they arrive: the later half only adds the values that the dictionary doesn't have
+    for batch in (~second, second):  # as they arrive: each half only adds the values that the dictionary doesn't have
         # stored, as Spark takes scans of one folder for equal although files were added in between
         part = scratch.put(known.normalise(rows.filter(batch), "raw_record_id", "value", "zone", "locale").select("raw_record_id", "micros"), "instants")
         done = part if done is None else done.unionByName(part)

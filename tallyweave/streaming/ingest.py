@@ -48,7 +48,7 @@ def accumulate_partials(stream: DataFrame, store: str, checkpoint: str, group: l
 
     def write(batch: DataFrame, n: int) -> None:
         parts = partials(batch, group, sums).persist()
-        taken, refused = merge_partials(parts.limit(0), parts, group, list(sums), F.col("slot"), cut)
+        taken, refused = merge_partials(parts.limit(0), parts, group, list(sums), cut)
         taken.write.mode("overwrite").parquet(f"{store}/batch_n={n}")
         refused.write.mode("overwrite").parquet(f"{store}-refused/batch_n={n}")
         parts.unpersist()

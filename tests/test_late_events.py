@@ -1,3 +1,5 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 from tallyweave.operators.late_events import combine, merge_partials, partials, with_fate
@@ -18,14 +20,17 @@ def test_cutoffs_and_sums(spark):
     assert combine(p.limit(0), ["g"], ["v"]).count() == 0
 
 
-def test_merging_in_parts_is_merging_at_once_and_closed_periods_refuse(spark):
+def test_merging_in_any_order_is_merging_at_once_and_closed_periods_refuse(spark):
     e = events(spark)
-    parts = [partials(e.filter(c), ["g"], {"v": F.col("v")}) for c in ("v <= 4", "v > 4 and v <= 8")]
-    now = F.lit("2026-01-05 00:00:00").cast("timestamp")
-    store, refused = merge_partials(parts[0], parts[1], ["g"], ["v"], now)
-    whole = partials(e.filter("v <= 8"), ["g"], {"v": F.col("v")})
-    cols = sorted(whole.columns)
-    assert refused.count() == 0 and sorted(map(tuple, store.select(cols).collect())) == sorted(map(tuple, whole.select(cols).collect()))
-    later = F.lit("2026-01-09 00:00:00").cast("timestamp")
-    store, refused = merge_partials(parts[0], parts[1], ["g"], ["v"], later)
-    assert refused.count() == 1 and store.agg(F.sum("n")).first()[0] == 3
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    merge = lambda store, arriving: merge_partials(store, arriving, ["g"], ["v"])
+    whole = partials(e, ["g"], {"v": F.col("v")})
+    store, refused = merge(whole.limit(0), whole)
+    assert refused.first().v == 16 and refused.first().fate == "dropped" and store.agg(F.sum("n")).first()[0] == 5
+    parts = [partials(e.filter(c), ["g"], {"v": F.col("v")}) for c in ("v <= 2 or v is null", "v in (4, 16)", "v >= 8 and v <> 16")]
+    for order in itertools.permutations(range(3)):
+        kept, gone = whole.limit(0), whole.limit(0)
+        for i in order:
+            kept, dropped = merge(kept, parts[i])
+            gone = gone.unionByName(dropped)
+        assert rows(kept) == rows(store) and rows(gone) == rows(refused)
