@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.sources.tables import salted_lookup
+
 BY_REFERENCE, BY_AMOUNT = "IDX-REFERENCE", "IDX-AMOUNT-CURRENCY-DATE"
 
 
@@ -37,8 +41,37 @@ def candidates_of(targets: DataFrame, a: DataFrame, b: DataFrame, days: int = 2)
     return candidates(pick(a), b, days).unionByName(candidates(a, pick(b), days)).distinct()
 
 
-def distribution(records: DataFrame, pairs: DataFrame) -> DataFrame:
+def _seen(nodes: DataFrame, keys: list[str], days: int | None) -> DataFrame:
+    """For each key: na, nb (records of the sides that a record of this key can see), ma, mb (the
+    smallest of them) and n (the records of the key itself). With days, the last key is a date that
+    sees the days around it."""
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    of = lambda s: F.col("side") == s
+    per = nodes.filter(whole).groupBy(*keys).agg(F.count_if(of("A")).alias("na"), F.count_if(of("B")).alias("nb"), F.min(F.when(of("A"), F.col("rid"))).alias("ma"), F.min(F.when(of("B"), F.col("rid"))).alias("mb"), F.count(F.lit(1)).alias("n"))
+    if days is None:
+        return per
+    around = per.withColumn("by", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("n", F.when(F.col("by") == 0, F.col("n")).otherwise(0)).withColumn("d", F.date_add("d", F.col("by")))
+    return around.groupBy(*keys).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("ma").alias("ma"), F.min("mb").alias("mb"), F.sum("n").alias("n")).filter("n > 0")
+
+
+def hits(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
+    """rid, side, nref, pref, namt, pamt, nboth: for each record of either side the number and the
+    smallest of its counterparts by reference and by amount and date, and the number found by both.
+
+    nodes: rid (unique), side, ref, ccy, amt, d of both sides, a stored table of ``total`` rows. Keys are
+    counted map-side and looked up by salt, so a key with a third of the rows costs what its rows
+    cost; no pairs are formed. Null keys and blank references see nothing.
+    """
+    rows = nodes.select("rid", "side", F.when(F.col("ref") != "", F.col("ref")).alias("ref"), "ccy", "amt", "d")
+    out = rows
+    for name, keys, band in (("ref", ["ref"], None), ("amt", ["ccy", "amt", "d"], days), ("both", ["ref", "ccy", "amt", "d"], days)):
+        other = lambda a, b: F.when(F.col("side") == "A", F.col(b)).otherwise(F.col(a))
+        found = salted_lookup(out, _seen(rows, keys, band), keys, "n", F.col("rid"), total, "left")
+        out = found.withColumns({f"n{name}": F.coalesce(other("na", "nb"), F.lit(0)), f"p{name}": other("ma", "mb")}).drop("na", "nb", "ma", "mb")
+    return out.select("rid", "side", "nref", "pref", "namt", "pamt", "nboth")
+
+
+def distribution(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
     """Per side: records, and minimum, median, maximum and sum of candidates per record, zeros included."""
-    counts = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return records.join(counts, "rid", "left").groupBy("side").agg(F.count(F.lit(1)).alias("records"), F.min(n).alias("least"), F.median(n).alias("middle"), F.max(n).alias("most"), F.sum(n).alias("total"))
+    n = F.col("nref") + F.col("namt") - F.col("nboth")
+    return hits(nodes, total, days).groupBy("side").agg(F.count(F.lit(1)).alias("records"), F.min(n).alias("least"), F.median(n).alias("middle"), F.max(n).alias("most"), F.sum(n).alias("total"))

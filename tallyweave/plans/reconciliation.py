@@ -57,14 +57,20 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cand.candidates(*_ab(spark, sf))
 
 
-def _stored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return Scratch(spark, "pairs").put(_pairs(spark, sf), "pairs")
+def _nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    a, b = _ab(spark, sf)
+    nodes, seen = Scratch(spark, "nodes").put_counted(a.unionByName(b), "nodes")
+    return nodes, seen["n"]
+
+
+def _selections(spark: SparkSession, sf: str) -> DataFrame:
+    return Scratch(spark, "selections").put(matching.select(*_nodes(spark, sf)), "selections")
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "decide")
     a, b = _ab(spark, sf)
-    return matching.decide(scratch, scratch.put(a, "a"), scratch.put(b, "b"), scratch.put(cand.candidates(a, b), "pairs"))
+    return matching.decide(scratch, scratch.put(a, "a"), scratch.put(b, "b"))
 
 
 _FEED_COLS = "rid, side, d, amount, ccy, dir, ref, valid"
@@ -110,28 +116,34 @@ def candidates_of_hundredths(spark, sf):
 @query(f"""{_FEEDS}{_CAND}, n AS (SELECT rid, count(*) n FROM (SELECT a rid FROM cand UNION ALL SELECT b FROM cand) GROUP BY rid)
 SELECT side, count(*) records, min(coalesce(n, 0)) least, CAST(median(coalesce(n, 0)) AS DOUBLE) middle, max(coalesce(n, 0)) most, CAST(sum(coalesce(n, 0)) AS BIGINT) total FROM (SELECT rid, side FROM ca UNION ALL SELECT rid, side FROM cb) x LEFT JOIN n USING (rid) GROUP BY side""")
 def candidate_distribution(spark, sf):
-    a, b = _ab(spark, sf)
-    return cand.distribution(a.select("rid", "side").unionByName(b.select("rid", "side")), _pairs(spark, sf))
+    return cand.distribution(*_nodes(spark, sf))
 
 
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT node, side, rule, n, pick FROM sel")
 def rule_selection(spark, sf):
+    """From the records, without forming their pairs."""
+    return matching.select(*_nodes(spark, sf))
+
+
+@query(f"{_FEEDS}{_CAND}{_SEL} SELECT node, side, rule, n, pick FROM sel")
+def rule_selection_of_candidates(spark, sf):
+    """The same from the pairs, as a stored candidate table gives them."""
     return matching.select_by_rule(_pairs(spark, sf))
 
 
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT a, b FROM edges")
 def proposal_edges(spark, sf):
-    return matching.proposals(matching.select_by_rule(_stored_pairs(spark, sf)))
+    return matching.proposals(_selections(spark, sf))
 
 
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT node FROM dup")
 def conflict_duplicates(spark, sf):
-    return matching.conflicts(matching.proposals(matching.select_by_rule(_stored_pairs(spark, sf))))
+    return matching.conflicts(matching.proposals(_selections(spark, sf)))
 
 
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT a, b, rule FROM mut")
 def mutual_pairs(spark, sf):
-    return matching.mutual(matching.select_by_rule(_stored_pairs(spark, sf)))
+    return matching.mutual(_selections(spark, sf))
 
 
 @query(f"{_FEEDS}{_CAND} SELECT a, b, CASE WHEN ca.amt = cb.amt AND ca.ccy = cb.ccy AND ca.dir = cb.dir THEN 'MATCHED' ELSE 'MISMATCHED' END outcome FROM cand JOIN ca ON ca.rid = a JOIN cb ON cb.rid = b")
@@ -176,9 +188,9 @@ def late_arrival_versions(spark, sf):
     a, b = _ab(spark, sf)
     a, b = scratch.put(a, "a"), scratch.put(b, "b")
     first = b.filter("k % 5 <> 0")
-    one = matching.decide(scratch, a, first, scratch.put(cand.candidates(a, first), "pairs"))
+    one = matching.decide(scratch, a, first)
     old = scratch.put(one.select("a", "b", "outcome", F.lit(1).alias("version"), F.lit(True).alias("current")), "versions")
-    two = matching.decide(scratch, a, b, scratch.put(cand.candidates(a, b), "pairs")).select("a", "b", "outcome")
+    two = matching.decide(scratch, a, b).select("a", "b", "outcome")
     return matching.next_versions(scratch, old, two)
 
 
@@ -554,4 +566,4 @@ def stream_reconcile(spark, sf):
     for name, df in zip("ab", _ab(spark, sf)):
         ingest.ingest_once(_as_stream(spark, sf, scratch, df, name), f"{scratch.root}/{name}", f"{scratch.root}/checkpoint-{name}", ["rid"], "k")
     a, b = (spark.read.parquet(f"{scratch.root}/{n}").drop("batch_n") for n in "ab")
-    return matching.decide(scratch, a, b, scratch.put(cand.candidates(a, b), "pairs"))
+    return matching.decide(scratch, a, b)
