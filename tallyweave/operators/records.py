@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import clean_text, newlines, nfc, strip
+from tallyweave.functions.text import clean_text, newlines, strip
 
 # Canonical field -> key in the two schema versions, and the required fields.
 FIELDS = {"record_id": ("record_id", "id"), "occurred_at": ("occurred_at", "posted"), "amount": ("amount", "value"), "currency": ("currency", "ccy"), "direction": ("direction", "side"), "account_reference": ("account_reference", "account_ref"), "transaction_reference": ("transaction_reference", "reference"), "description": ("description", "memo"), "transaction_type": ("transaction_type", "type")}
@@ -102,13 +104,18 @@ def first_submissions(raw: DataFrame, keys: list[str], order: str) -> DataFrame:
     return raw.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
-def correction_chain(raw: DataFrame, group: list[str], at: str, id_: str, seq: str, content: str) -> DataFrame:
-    """id, supersedes: the greatest (at, id) among the rows that came earlier, if its content differs."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.max(F.struct(F.col(at).alias("t"), F.col(id_).alias("i"), F.col(content).alias("c"))).over(w)
-    return raw.select(id_, seq, F.when(~prior["c"].eqNullSafe(F.col(content)), prior["i"]).alias("supersedes"))
+def correction_chain(raw: DataFrame, group: list[str], at: str, id_: str, seq: str, content: str, block: Column | None = None) -> DataFrame:
+    """id, seq, supersedes: the greatest (at, id) among the rows that came earlier, if its content differs.
 
-
-__all__ = ["validate", "canonical_columns", "canonical_json", "iso_instant", "first_submissions", "correction_chain", "nfc"]
+    ``block`` never falls as seq rises. The greatest row of the earlier blocks comes from one row per
+    block, that of the own block from the block, so a group with most rows is walked by many tasks.
+    """
+    block = F.lit(0) if block is None else block
+    row = F.struct(F.col(at).alias("t"), F.col(id_).alias("i"), F.col(content).alias("c"))
+    placed = raw.withColumns({"_b": block, "_row": row})
+    earlier = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy(*group, "_b").agg(F.max("_row").alias("_top")).withColumn("_before", F.max("_top").over(earlier(group, "_b"))).drop("_top")
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"r.{g}").eqNullSafe(F.col(f"t.{g}")) for g in [*group, "_b"]])
+    both = placed.alias("r").join(tops.alias("t"), same).select("r.*", "t._before")
+    prior = F.greatest(F.col("_before"), F.max("_row").over(earlier([*group, "_b"], seq)))
+    return both.withColumn("_prior", prior).select(id_, seq, F.when(~F.col("_prior.c").eqNullSafe(F.col(content)), F.col("_prior.i")).alias("supersedes"))

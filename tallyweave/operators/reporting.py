@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +53,44 @@ def gapless_sequence(rows: DataFrame, entity: list[str], order: list[str], block
     return placed.join(before, same).withColumn("sequence", number.cast("bigint")).select(*rows.columns, "sequence")
 
 
+def order_blocks(rows: DataFrame, order: str) -> Column:
+    """A block number that never falls as ``order`` (a non-negative whole number) rises: as many blocks
+    as a block has rows on the average, so neither blocks nor their list is too long for one task."""
+    n, top = rows.agg(F.count(F.lit(1)), F.max(order)).first()
+    blocks = math.isqrt(n or 0) + 1
+    return F.floor(F.col(order).cast("double") * (blocks / ((top or 0) + 1)))
+
+
+def ranked_values(scratch: Scratch, rows: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """group, n and the values at the given ranks (1, 2, ... of n, as expressions over ``n``), exactly.
+
+    Values are counted map-side and dealt out by range, so that neither a frequent value nor a group
+    with most rows lies in one task; of each group only the range that holds a rank is walked. Null
+    values are left out, null groups are a group, and a rank beyond the rows gives null.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
+    placed = scratch.put(counts.repartitionByRange(*group, value).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy(*group, "_p").agg(F.sum("_k").alias("_sum"))
+    each = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_sum").over(each.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_sum").over(each)})
+    for name, rank in ranks.items():
+        parts = parts.withColumn(f"_r_{name}", rank)
+    holds = lambda r: (F.col(f"_r_{r}") > F.col("_before")) & (F.col(f"_r_{r}") <= F.col("_before") + F.col("_sum"))
+    held = parts.filter(functools.reduce(lambda x, y: x | y, map(holds, ranks)))
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"v.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group], F.col("v._p") == F.col("h._p"))
+    walked = placed.alias("v").join(held.alias("h"), same).select("h.*", "v._k", F.col(f"v.{value}").alias("_v"))
+    until = F.col("_before") + F.sum("_k").over(Window.partitionBy(*group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    pick = lambda r: F.min(F.when(holds(r) & (F.col("_until") >= F.col(f"_r_{r}")), F.col("_v"))).alias(r)
+    return walked.withColumn("_until", until).groupBy(*group).agg(F.max("n").alias("n"), *map(pick, ranks))
+
+
+def nearest_ranks(q: float) -> dict[str, Column]:
+    """The three ways in which a nearest rank is found: rounded half to even, rounded up, and cut off."""
+    n, at = F.col("n"), F.lit(q) * F.col("n")
+    inside = lambda r: F.greatest(F.lit(1), F.least(n, r.cast("bigint")))
+    return {"rounded": inside(F.bround(at)), "up": inside(F.ceil(at)), "cut": inside(F.floor(at))}
+
+
 def table_digest(df: DataFrame, cols: list[str]) -> DataFrame:
     """rows and two order-independent sums of 64-bit row hashes: equal tables have equal digests.
 

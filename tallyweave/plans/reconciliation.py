@@ -325,7 +325,7 @@ SELECT raw_record_id, seq, CASE WHEN x.c IS DISTINCT FROM content_fingerprint TH
 def correction_chain(spark, sf):
     raw = _raw(spark, sf).filter("source_record_id is not null")
     first = raw.groupBy("raw_record_id", "source_id", "schema_version", "source_record_id", "content_fingerprint").agg(F.min("seq").alias("seq"), F.min_by("accepted_at", "seq").alias("t"))
-    return records.correction_chain(first, ["source_id", "schema_version", "source_record_id"], "t", "raw_record_id", "seq", "content_fingerprint")
+    return records.correction_chain(first, ["source_id", "schema_version", "source_record_id"], "t", "raw_record_id", "seq", "content_fingerprint", reporting.order_blocks(raw, "seq"))
 
 
 # versions, reports, integrity ----------------------------------------------------------------------
@@ -377,7 +377,7 @@ def resolved_versions(spark, sf):
 SELECT entity, event_id, row_number() OVER (PARTITION BY entity ORDER BY seq, event_id) sequence FROM e""")
 def audit_trail(spark, sf):
     e = _raw(spark, sf).groupBy("raw_record_id", "source_id").agg(F.min("seq").alias("seq")).select(F.col("source_id").alias("entity"), F.concat(F.lit("ingest:"), "raw_record_id").alias("event_id"), "seq")
-    return reporting.gapless_sequence(e, ["entity"], ["seq", "event_id"], F.floor(F.col("seq") / 500)).select("entity", "event_id", F.col("sequence").cast("bigint").alias("sequence"))
+    return reporting.gapless_sequence(e, ["entity"], ["seq", "event_id"], reporting.order_blocks(_raw(spark, sf), "seq")).select("entity", "event_id", F.col("sequence").cast("bigint").alias("sequence"))
 
 
 _COUNTS = ("MATCHED", "MISMATCHED", "AMBIGUOUS", "DUPLICATE")
@@ -468,9 +468,24 @@ def latency_histogram(spark, sf):
     return reporting.cumulative_histogram(table(spark, sf, "events"), "value", _EDGES)
 
 
-@query('SELECT event_type, quantile_disc("value", 0.95) p95 FROM events GROUP BY event_type')
+_RANKED = """r AS (SELECT event_type, "value" v, row_number() OVER (PARTITION BY event_type ORDER BY "value") i, count(*) OVER (PARTITION BY event_type) n FROM events WHERE "value" IS NOT NULL)"""
+
+
+@query(f"""WITH {_RANKED}, k AS (SELECT DISTINCT event_type, n, greatest(1, least(n, CAST(round_even(0.95 * n, 0) AS BIGINT))) r, greatest(1, least(n, CAST(ceil(CAST(0.95 AS DOUBLE) * n) AS BIGINT))) u, greatest(1, least(n, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT))) c FROM r)
+SELECT k.event_type, k.n, max(v) FILTER (i = k.r) rounded, max(v) FILTER (i = k.u) up, max(v) FILTER (i = k.c) cut FROM r JOIN k USING (event_type) GROUP BY 1, 2""")
 def latency_p95(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+    """The three nearest-rank variants of the 95th percentile."""
+    return reporting.ranked_values(Scratch(spark, "p95"), table(spark, sf, "events"), ["event_type"], "value", reporting.nearest_ranks(0.95))
+
+
+@query("""SELECT event_type, count(*) n, median("value") middle, max("value") peak, count(*) / median("value") per_second FROM events GROUP BY event_type""")
+def throughput(spark, sf):
+    """Rows, median, maximum, and rows by median time of each group, the median exact and distributed."""
+    events, n = table(spark, sf, "events"), F.col("n")
+    ranks = {"low": F.floor((n + 1) / 2).cast("bigint"), "high": F.ceil((n + 1) / 2).cast("bigint"), "peak": n}
+    r = reporting.ranked_values(Scratch(spark, "median"), events, ["event_type"], "value", ranks)
+    middle = (F.col("low") + F.col("high")) / 2
+    return r.select("event_type", "n", middle.alias("middle"), "peak", F.try_divide(n, middle).alias("per_second"))
 
 
 @query("SELECT count_if(event_type = 'error') errors, count(*) n, count_if(event_type = 'error') / count(*) ratio FROM events")
