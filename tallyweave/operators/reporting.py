@@ -53,6 +53,15 @@ def gapless_sequence(rows: DataFrame, entity: list[str], order: list[str], block
     return placed.join(before, same).withColumn("sequence", number.cast("bigint")).select(*rows.columns, "sequence")
 
 
+def append_events(trail: DataFrame, events: DataFrame, entity: list[str], id_: str, order: list[str], block: Column) -> DataFrame:
+    """events that the trail doesn't have by their id, with the sequence going on where it ended per entity."""
+    new = events.dropDuplicates([id_]).join(trail.select(id_), id_, "left_anti")
+    last = trail.groupBy(*entity).agg(F.max("sequence").alias("_last"))
+    numbered = gapless_sequence(new, entity, order, block)
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"n.{e}").eqNullSafe(F.col(f"l.{e}")) for e in entity])
+    return numbered.alias("n").join(last.alias("l"), same, "left").select(*[f"n.{c}" for c in events.columns], (F.col("n.sequence") + F.coalesce("_last", F.lit(0))).alias("sequence"))
+
+
 def order_blocks(rows: DataFrame, order: str) -> Column:
     """A block number that never falls as ``order`` (a non-negative whole number) rises: as many blocks
     as a block has rows on the average, so neither blocks nor their list is too long for one task."""

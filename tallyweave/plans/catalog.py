@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import data_quality, reconciliation
+from tallyweave.plans import common, data_quality, pipeline, reconciliation, service  # noqa: F401  (the plans register their queries)
 
 
 def queries() -> dict:
-    return data_quality.queries() | reconciliation.QUERIES
+    return data_quality.queries() | common.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return data_quality.oracle_sql() | reconciliation.SQL
+    return data_quality.oracle_sql() | common.SQL

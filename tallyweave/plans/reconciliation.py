@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import newlines, nfc
 from tallyweave.operators import candidates as cand
 from tallyweave.operators import matching, records, reporting
+from tallyweave.plans.common import CURRENT as _R
+from tallyweave.plans.common import query
+from tallyweave.plans.common import reconciliations as _recs
 from tallyweave.plans.data_quality import _FATES, _p2_events
 from tallyweave.sources import feeds
 from tallyweave.sources.tables import Scratch, table
 from tallyweave.streaming import ingest
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
 _FEEDS = """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) k, CAST(o_orderdate AS DATE) d, CAST(o_totalprice AS DECIMAL(20,4)) amt, o_custkey c, o_orderstatus st FROM orders),
 fa AS (SELECT concat('A-', k) rid, 'A' side, k, d, concat(CAST(amt AS VARCHAR), CASE WHEN k % 29 = 0 THEN 'x' ELSE '' END) amount, CASE WHEN c % 5 = 0 THEN 'EUR' ELSE 'USD' END ccy, CASE WHEN st = 'F' THEN 'DEBIT' ELSE 'CREDIT' END dir, CASE WHEN k % 3 <> 0 THEN concat('REF-', k) END ref, k % 29 <> 0 valid FROM o),
 fb AS (SELECT concat('B-', k) rid, 'B' side, k, CAST(d + CAST(k % 4 AS INT) AS DATE) d, CAST(CASE WHEN k % 13 = 0 THEN CAST(amt + 5 AS DECIMAL(20,4)) ELSE amt END AS VARCHAR) amount, CASE WHEN c % 5 = 0 THEN 'EUR' ELSE 'USD' END ccy, CASE WHEN (st = 'F') <> (k % 17 = 0) THEN 'DEBIT' ELSE 'CREDIT' END dir, CASE WHEN k % 23 = 1 THEN concat('REF-', k + 1) WHEN k % 3 <> 0 THEN concat('REF-', k) END ref, true valid FROM o WHERE k % 11 <> 0
@@ -39,16 +39,6 @@ dec AS (SELECT CASE WHEN ca.amt = cb.amt AND ca.ccy = cb.ccy AND ca.dir = cb.dir
   FROM (SELECT rid, side FROM ca UNION ALL SELECT rid, side FROM cb) x LEFT JOIN dup ON dup.node = x.rid LEFT JOIN sel ON sel.node = x.rid WHERE x.rid NOT IN (SELECT a FROM good) AND x.rid NOT IN (SELECT b FROM good))"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _ab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return feeds.canonical(feeds.source_a(spark, sf)), feeds.canonical(feeds.source_b(spark, sf))
 
@@ -162,9 +152,9 @@ def outcome_counts(spark, sf):
     return _decisions(spark, sf).select("outcome").unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, a, b, CASE outcome WHEN 'MISMATCHED' THEN 'compared fields differ' ELSE 'several candidates' END reason FROM dec WHERE outcome IN ('MISMATCHED', 'AMBIGUOUS')")
+@query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, a, b, CASE outcome WHEN 'MISMATCHED' THEN 'amount, currency, or direction differs' ELSE 'multiple candidates satisfy the highest applicable rule' END reason FROM dec WHERE outcome IN ('MISMATCHED', 'AMBIGUOUS')")
 def discrepancies(spark, sf):
-    return _decisions(spark, sf).filter(F.col("outcome").isin("MISMATCHED", "AMBIGUOUS")).select("outcome", "a", "b", F.when(F.col("outcome") == "MISMATCHED", "compared fields differ").otherwise("several candidates").alias("reason"))
+    return _decisions(spark, sf).filter(F.col("outcome").isin("MISMATCHED", "AMBIGUOUS")).select("outcome", "a", "b", matching.reason(F.col("outcome")).alias("reason"))
 
 
 @query(f"{_FEEDS} SELECT 'INVALID' outcome, rid, 1 \"version\" FROM fa WHERE NOT valid")
@@ -331,13 +321,6 @@ def correction_chain(spark, sf):
 # versions, reports, integrity ----------------------------------------------------------------------
 
 
-def _recs(spark, sf):
-    return table(spark, sf, "reconciliations").dropDuplicates(["reconciliation_id"])
-
-
-_R = "WITH r AS (SELECT DISTINCT * FROM reconciliations), cur AS (SELECT * FROM r WHERE reconciliation_id NOT IN (SELECT supersedes_reconciliation_id FROM r WHERE supersedes_reconciliation_id IS NOT NULL))"
-
-
 @query(f"{_R} SELECT reconciliation_id, batch_id, outcome, state, reconciliation_version FROM cur")
 def current_reconciliations(spark, sf):
     return reporting.current_versions(_recs(spark, sf), "reconciliation_id", "supersedes_reconciliation_id").select("reconciliation_id", "batch_id", "outcome", "state", "reconciliation_version")
@@ -349,30 +332,6 @@ def supersession_lineage(spark, sf):
     return reporting.lineage(spark, _recs(spark, sf), "reconciliation_id", "supersedes_reconciliation_id")
 
 
-_OPEN = "d AS (SELECT reconciliation_id, outcome, hash_n % 5 h, batch_id FROM (SELECT *, CAST(CAST(concat('0x', substr(sha256(reconciliation_id), 1, 6)) AS BIGINT) AS BIGINT) hash_n FROM cur) WHERE outcome IN ('MISMATCHED', 'AMBIGUOUS'))"
-
-
-def _open(spark, sf):
-    cur = reporting.current_versions(_recs(spark, sf), "reconciliation_id", "supersedes_reconciliation_id")
-    h = F.conv(F.substring(F.sha2("reconciliation_id", 256), 1, 6), 16, 10).cast("bigint") % 5
-    return cur.filter(F.col("outcome").isin("MISMATCHED", "AMBIGUOUS")).select("reconciliation_id", "outcome", "batch_id", "reconciliation_version", h.alias("h"))
-
-
-_TYPES = "CASE h WHEN 0 THEN 'MANUAL_APPROVED' WHEN 1 THEN 'AUTOMATIC' WHEN 2 THEN 'DEFERRED' WHEN 3 THEN 'REJECTED' END"
-_STATES = "CASE h WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'DEFERRED' WHEN 3 THEN 'REJECTED' ELSE 'OPEN' END"
-
-
-@query(f"{_R}, {_OPEN} SELECT reconciliation_id, {_TYPES} resolution_type, {_STATES} state FROM d")
-def resolutions_applied(spark, sf):
-    """State of each discrepancy under resolution requests made from a hash of its id."""
-    return _open(spark, sf).select("reconciliation_id", F.expr(_TYPES).alias("resolution_type"), F.expr(_STATES).alias("state"))
-
-
-@query(f"{_R}, {_OPEN} SELECT d.reconciliation_id supersedes, d.outcome, CAST(cur.reconciliation_version + 1 AS INT) \"version\" FROM d JOIN cur USING (reconciliation_id) WHERE h IN (0, 1)")
-def resolved_versions(spark, sf):
-    return _open(spark, sf).filter("h in (0, 1)").select(F.col("reconciliation_id").alias("supersedes"), "outcome", (F.col("reconciliation_version") + 1).cast("int").alias("version"))
-
-
 @query("""WITH f AS (SELECT raw_record_id, min(seq) seq, source_id FROM raw_records GROUP BY raw_record_id, source_id), e AS (SELECT source_id entity, concat('ingest:', raw_record_id) event_id, seq FROM f)
 SELECT entity, event_id, row_number() OVER (PARTITION BY entity ORDER BY seq, event_id) sequence FROM e""")
 def audit_trail(spark, sf):
