@@ -408,16 +408,6 @@ def referential_violations(spark, sf):
     return out
 
 
-_DIGEST = ["canonical_id", "source_record_id", "amount", "currency"]
-
-
-@query(f"""WITH h AS (SELECT sha256(concat_ws(chr(31), {", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in _DIGEST)})) x FROM canonical_transactions)
-SELECT count(*) n_rows, CAST(coalesce(sum(CAST(concat('0x', x[1:12]) AS BIGINT)), 0) AS VARCHAR) digest_1, CAST(coalesce(sum(CAST(concat('0x', x[13:24]) AS BIGINT)), 0) AS VARCHAR) digest_2 FROM h""")
-def table_digest(spark, sf):
-    return reporting.table_digest(table(spark, sf, "canonical_transactions"), _DIGEST)
-
-
-# events.ts has no zone: its microseconds are those of the time as written
 _EVENT_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 _EDGES = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0]
 
@@ -469,21 +459,6 @@ def counter_increase(spark, sf):
     return per.withColumn("counter", F.sum("n").over(w)).select("event_type", "hour", "counter", (F.col("counter") - F.coalesce(F.lag("counter").over(w), F.lit(0))).alias("increase"))
 
 
-@query("""WITH m AS (SELECT count_if(event_type = 'error') / count(*) error_ratio, quantile_disc("value", 0.95) p95 FROM events), r AS (SELECT count_if(outcome IS NULL) undecided, count(*) n FROM reconciliations)
-SELECT alert FROM (SELECT unnest(['high_error_ratio', 'slow_p95', 'undecided_backlog', 'no_traffic']) alert, unnest([error_ratio > 0.05, p95 > 100, undecided > 0.1 * n, n = 0]) fired FROM m, r) WHERE fired""")
-def alerts_fired(spark, sf):
-    m = table(spark, sf, "events").agg(F.try_divide(F.count_if(F.col("event_type") == "error"), F.count(F.lit(1))).alias("error_ratio"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")).withColumn("one", F.lit(1))
-    r = table(spark, sf, "reconciliations").agg(F.count_if(F.col("outcome").isNull()).alias("undecided"), F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    rules = {"high_error_ratio": "error_ratio > 0.05", "slow_p95": "p95 > 100", "undecided_backlog": "undecided > 0.1 * n", "no_traffic": "n = 0"}
-    return m.join(r, "one").select(F.inline(F.array(*[F.struct(F.lit(k).alias("alert"), F.expr(v).alias("fired")) for k, v in rules.items()]))).filter("fired").select("alert")
-
-
-@query("SELECT regexp_replace(concat('/v1/orders/', o_orderkey, '/items/', o_custkey), '/[0-9]+', '/{id}', 'g') route, count(*) n FROM orders GROUP BY 1")
-def route_template(spark, sf):
-    path = F.concat(F.lit("/v1/orders/"), "o_orderkey", F.lit("/items/"), "o_custkey")
-    return table(spark, sf, "orders").groupBy(F.regexp_replace(path, r"/[0-9]+", "/{id}").alias("route")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 w AS (SELECT user_id, event_id, i, t, t s, 1 n FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.t, CASE WHEN e.t - w.s >= 86400000000 THEN e.t ELSE w.s END, CASE WHEN e.t - w.s >= 86400000000 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
 SELECT event_id, user_id, n <= 2 allowed FROM w""")
@@ -500,12 +475,13 @@ def _as_stream(spark, sf, scratch: Scratch, df: DataFrame, name: str) -> DataFra
     return ingest.file_stream(spark, path)
 
 
-@query("SELECT source_id, raw_record_id FROM raw_records GROUP BY ALL")
+@query("SELECT DISTINCT source_id, raw_record_id, schema_version, payload, content_fingerprint FROM raw_records")
 def stream_ingest_dedup(spark, sf):
+    """Whole raw records as a stream, each kept once."""
     scratch = Scratch(spark, "stream")
-    stream = _as_stream(spark, sf, scratch, _raw(spark, sf).select("source_id", "raw_record_id", "seq"), "raw")
+    stream = _as_stream(spark, sf, scratch, _raw(spark, sf), "raw")
     ingest.ingest_once(stream, f"{scratch.root}/ingested", f"{scratch.root}/checkpoint", ["source_id", "raw_record_id"], "seq")
-    return spark.read.parquet(f"{scratch.root}/ingested").select("source_id", "raw_record_id")
+    return spark.read.parquet(f"{scratch.root}/ingested").select("source_id", "raw_record_id", "schema_version", "payload", "content_fingerprint")
 
 
 @query("SELECT source_id, count(*) n_published, CAST(sum(seq) AS BIGINT) seq_published FROM raw_records WHERE accepted_at IS NOT NULL GROUP BY source_id")
@@ -539,5 +515,5 @@ def stream_reconcile(spark, sf):
     scratch = Scratch(spark, "stream")
     for name, df in zip("ab", _ab(spark, sf)):
         ingest.ingest_once(_as_stream(spark, sf, scratch, df, name), f"{scratch.root}/{name}", f"{scratch.root}/checkpoint-{name}", ["rid"], "k")
-    a, b = (spark.read.parquet(f"{scratch.root}/{n}").drop("batch_n") for n in "ab")
+    a, b = (spark.read.parquet(f"{scratch.root}/{n}").drop("batch_n", "part") for n in "ab")
     return matching.decide(scratch, a, b)

@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tables of a ledger that may be read by name.
+ALLOWED = frozenset({"batches", "raw_records", "canonical_transactions", "match_candidates", "reconciliations", "sources", "discrepancies", "resolutions", "audit_events", "validation_results"})
+
+
+def project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that is on the list; any other name is refused before anything is read."""
+    if name not in ALLOWED:
+        raise ValueError(f"unknown table {name!r}")
+    return table(spark, sf_dir, name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -23,19 +23,25 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str) -> None:
+def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, parts: int = 64) -> None:
     """Append each key's first submission to the table at ``target``; replays add nothing.
 
-    The batch id names the files of a micro-batch, so a batch that is repeated after a failure
-    overwrites its own files: exactly once at the sink, whatever is lost.
+    The table is divided by a hash of the key, and a micro-batch is compared with the divisions that its
+    own keys fall into, of which only the key columns are read. The batch id names the files of a
+    micro-batch, so a batch that is repeated after a failure overwrites its own files: exactly once
+    at the sink, whatever is lost. A table of more than ``parts`` times what a task reads wants more parts.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, n: int) -> None:
-        fresh = first_submissions(batch, keys, order)
+        fresh = first_submissions(batch, keys, order).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        new = fresh
         if _exists(spark, target):
-            fresh = fresh.join(spark.read.parquet(target).filter(F.col("batch_n") < n).select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/batch_n={n}")
+            touched = [r[0] for r in fresh.select("part").distinct().collect()]  # at most ``parts`` numbers
+            known = spark.read.parquet(target).filter(F.col("part").isin(touched) & (F.col("batch_n") < n)).select("part", *keys)
+            new = fresh.join(known, ["part", *keys], "left_anti")
+        new.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{target}/batch_n={n}")
+        fresh.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -59,3 +65,18 @@ def accumulate_partials(stream: DataFrame, store: str, checkpoint: str, group: l
 def read_periods(spark: SparkSession, store: str, group: list[str], measures: list[str]) -> DataFrame:
     """Combine all partials on read; the refused ones count as dropped only."""
     return combine(spark.read.parquet(store).unionByName(spark.read.parquet(f"{store}-refused")), group, measures)
+
+
+def fan_out(stream: DataFrame, checkpoint: str, sinks: dict) -> None:
+    """Write every micro-batch as JSON lines to each folder whose condition holds for the row.
+
+    A batch has its own folder in each sink, so that a repeated one replaces itself.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        kept = batch.persist()
+        for folder, condition in sinks.items():
+            kept.filter(condition).write.mode("overwrite").json(f"{folder}/batch_n={n}")
+        kept.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
