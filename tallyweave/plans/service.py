@@ -95,7 +95,7 @@ def candidates_per_target(spark, sf):
     return cand.hits(*rec._nodes(spark, sf)).select("rid", "side", (F.col("nref") + F.col("namt") - F.col("nboth")).alias("n"))
 
 
-@query("SELECT DISTINCT reconciliation_id, concat(upper(outcome[1]), lower(replace(outcome, '_', ' '))[2:]) label, concat(reconciliation_id[1:22], '…', reconciliation_id[-6:]) short_id FROM reconciliations")
+@query("SELECT DISTINCT reconciliation_id, CASE WHEN outcome IS NOT NULL THEN concat(upper(outcome[1]), lower(replace(outcome, '_', ' '))[2:]) END label, concat(reconciliation_id[1:22], '…', reconciliation_id[-6:]) short_id FROM reconciliations")
 def display_labels(spark, sf):
     """Outcomes as words and ids cut in the middle."""
     words = F.lower(F.replace(F.col("outcome"), F.lit("_"), F.lit(" ")))

@@ -23,7 +23,7 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, parts: int = 64) -> None:
+def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, parts: int = 16) -> None:
     """Append each key's first submission to the table at ``target``; replays add nothing.
 
     The table is divided by a hash of the key, and a micro-batch is compared with the divisions that its
@@ -40,7 +40,7 @@ def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str]
             touched = [r[0] for r in fresh.select("part").distinct().collect()]  # at most ``parts`` numbers
             known = spark.read.parquet(target).filter(F.col("part").isin(touched) & (F.col("batch_n") < n)).select("part", *keys)
             new = fresh.join(known, ["part", *keys], "left_anti")
-        new.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{target}/batch_n={n}")
+        new.repartition("part").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{target}/batch_n={n}")
         fresh.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
