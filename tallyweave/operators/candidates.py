@@ -43,15 +43,14 @@ def candidates_of(targets: DataFrame, a: DataFrame, b: DataFrame, days: int = 2)
 
 def _seen(nodes: DataFrame, keys: list[str], days: int | None) -> DataFrame:
     """For each key: na, nb (records of the sides that a record of this key can see), ma, mb (the
-    smallest of them) and n (the records of the key itself). With days, the last key is a date that
-    sees the days around it."""
+    smallest of them). With days, the last key is a date that sees the days around it."""
     whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
     of = lambda s: F.col("side") == s
-    per = nodes.filter(whole).groupBy(*keys).agg(F.count_if(of("A")).alias("na"), F.count_if(of("B")).alias("nb"), F.min(F.when(of("A"), F.col("rid"))).alias("ma"), F.min(F.when(of("B"), F.col("rid"))).alias("mb"), F.count(F.lit(1)).alias("n"))
+    per = nodes.filter(whole).groupBy(*keys).agg(F.count_if(of("A")).alias("na"), F.count_if(of("B")).alias("nb"), F.min(F.when(of("A"), F.col("rid"))).alias("ma"), F.min(F.when(of("B"), F.col("rid"))).alias("mb"))
     if days is None:
         return per
-    around = per.withColumn("by", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("n", F.when(F.col("by") == 0, F.col("n")).otherwise(0)).withColumn("d", F.date_add("d", F.col("by")))
-    return around.groupBy(*keys).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("ma").alias("ma"), F.min("mb").alias("mb"), F.sum("n").alias("n")).filter("n > 0")
+    around = per.withColumn("by", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("d", F.date_add("d", F.col("by")))
+    return around.groupBy(*keys).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("ma").alias("ma"), F.min("mb").alias("mb"))
 
 
 def hits(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
@@ -66,7 +65,7 @@ def hits(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
     out = rows
     for name, keys, band in (("ref", ["ref"], None), ("amt", ["ccy", "amt", "d"], days), ("both", ["ref", "ccy", "amt", "d"], days)):
         other = lambda a, b: F.when(F.col("side") == "A", F.col(b)).otherwise(F.col(a))
-        found = salted_lookup(out, _seen(rows, keys, band), keys, "n", F.col("rid"), total, "left")
+        found = salted_lookup(out, _seen(rows, keys, band), keys, F.col("rid"), total, "left")
         out = found.withColumns({f"n{name}": F.coalesce(other("na", "nb"), F.lit(0)), f"p{name}": other("ma", "mb")}).drop("na", "nb", "ma", "mb")
     return out.select("rid", "side", "nref", "pref", "namt", "pamt", "nboth")
 

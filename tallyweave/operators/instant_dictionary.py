@@ -66,12 +66,12 @@ class InstantDictionary:
         carry a zone of their own, and numeric dates then begin with the day. ``rows`` is read twice
         and should be a stored table. Columns named value, zone, locale or micros are replaced.
         """
-        keyed = rows.filter(F.col(value).isNotNull()).select(*[c for c in rows.columns if c not in {value, zone, locale, *KEYS, "micros", "_n"}], F.col(value).alias("value"), F.coalesce(F.col(zone), F.lit("")).alias("zone"), F.coalesce(F.col(locale), F.lit("")).alias("locale"))
+        keyed = rows.filter(F.col(value).isNotNull()).select(*[c for c in rows.columns if c not in {value, zone, locale, *KEYS, "micros"}], F.col(value).alias("value"), F.coalesce(F.col(zone), F.lit("")).alias("zone"), F.coalesce(F.col(locale), F.lit("")).alias("locale"))
         plain = F.when(F.col("value").rlike(_PLAIN), F.unix_micros(F.col("value").try_cast("timestamp")))
         keyed = keyed.withColumn("micros", plain)
         rest = keyed.filter("micros is null").drop("micros")
-        counts = rest.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+        distinct = rest.select(*KEYS).distinct()
         total = rest.count()
-        self.extend(counts, total)
-        entries = self.read().filter(F.col("micros").isNotNull()).join(counts, KEYS)
-        return keyed.filter("micros is not null").unionByName(salted_lookup(rest, entries, KEYS, "_n", F.col(row_key), total))
+        self.extend(distinct, total)
+        entries = self.read().filter(F.col("micros").isNotNull())
+        return keyed.filter("micros is not null").unionByName(salted_lookup(rest, entries, KEYS, F.col(row_key), total))

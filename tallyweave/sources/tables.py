@@ -92,17 +92,18 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, row_key, total: int, how: str = "inner") -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], row_key, total: int, how: str = "inner", per_task: int = 1_000_000) -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``keys``) although one key may hold a third of the rows.
 
-    ``weight`` is a column of ``lookup`` with the exact number of rows of its key. A key above
-    ``per_task`` rows is spread over ``weight / per_task`` salts; there are at most
-    ``total / per_task`` <= 20,000 such keys, so the list of them is small enough to broadcast at
-    every size. ``weight`` is dropped from the result. Null keys match nothing.
+    A key of more than ``per_task`` of the ``total`` rows is spread over as many salts as it has such
+    portions. There are at most ``total / per_task`` <= 20,000 such keys, so the list of them is small
+    enough to broadcast at every size; of a table of no more than ``per_task`` rows there are none, and
+    it is joined as it is. Null keys match nothing. ``rows`` is read twice and should be a stored table.
     """
-    per_task = max(100_000, total // 20_000)
-    salts = lookup.filter(F.col(weight) > per_task).select(*keys, F.ceil(F.col(weight) / per_task).cast("int").alias("_salts"))
-    left = rows.join(F.broadcast(salts), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    many = F.ceil(F.col(weight) / per_task).cast("int")
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(many > 1, many - 1).otherwise(0)))).drop(weight)
+    per_task = max(per_task, total // 20_000)
+    if total <= per_task:
+        return rows.join(lookup, keys, how)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_task).select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias("_salts"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
