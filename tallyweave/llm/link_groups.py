@@ -84,9 +84,8 @@ def _round(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, list[DataFram
 def _root(scratch: Scratch, parents: DataFrame, total: int) -> DataFrame:
     """x, parent with parent a root, by doubling until nothing moves. total: the rows of parents, a stored table."""
     while True:
-        weights = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
-        up = parents.select(F.col("x").alias("parent"), F.col("parent").alias("up")).join(weights, "parent")
-        moved = salted_lookup(parents, up, ["parent"], "_n", F.col("x"), total, "left")
+        up = parents.select(F.col("x").alias("parent"), F.col("parent").alias("up"))
+        moved = salted_lookup(parents, up, ["parent"], F.col("x"), total, "left")
         new, seen = scratch.put_counted(moved.select("x", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("moved")), "pointers", moved=F.count_if("moved"))
         scratch.drop(parents)
         parents = new.drop("moved")
@@ -96,9 +95,8 @@ def _root(scratch: Scratch, parents: DataFrame, total: int) -> DataFrame:
 
 def _relabel(edges: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     for end in ("u", "v"):
-        weights = edges.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
-        to = roots.select(F.col("x").alias(end), F.col("parent").alias("_to")).join(weights, end)
-        edges = salted_lookup(edges, to, [end], "_n", F.struct("u", "v"), total, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        to = roots.select(F.col("x").alias(end), F.col("parent").alias("_to"))
+        edges = salted_lookup(edges, to, [end], F.struct("u", "v"), total, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return edges.filter("u != v").select(*_ordered("u", "v")).distinct()
 
 
@@ -151,5 +149,5 @@ def link_groups(spark: SparkSession, links: DataFrame, a: str, b: str) -> DataFr
     if roots is None:
         return ids.select("id", F.col("id").alias("group_id"))
     rooted, seen = scratch.put_counted(ids.join(roots, "x", "left").select("id", F.coalesce("parent", "x").alias("root")), "rooted")
-    groups = rooted.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("_n"))
-    return salted_lookup(rooted, groups, ["root"], "_n", F.col("id"), seen["n"]).select("id", "group_id")
+    groups = rooted.groupBy("root").agg(F.min("id").alias("group_id"))
+    return salted_lookup(rooted, groups, ["root"], F.col("id"), seen["n"]).select("id", "group_id")

@@ -237,7 +237,7 @@ def _run(spark: SparkSession, documents: DataFrame, key: str, text: str, path: s
     blocks = scratch.put(docs.mapInArrow(_splitter(path, keys), f"block string, docs array<struct<{inner}>>, size array<int>, codes array<int>, words array<string>"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     encoded, seen = scratch.put_counted(words.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).mapInArrow(_encoder(path), "word string, _n bigint, ids array<int>"), "encoded", rows=F.sum("_n"))
-    mine = salted_lookup(words, encoded, ["word"], "_n", F.col("block"), seen["rows"] or 0).select("block", "pos", "ids")
+    mine = salted_lookup(words, encoded.drop("_n"), ["word"], F.col("block"), seen["rows"] or 0).select("block", "pos", "ids")
     schema = pa.schema([*keys, ("n_tokens", pa.int64()) if counts else ("ids", pa.list_(pa.int32()))])
     return blocks.select(F.col("block").alias("of"), "docs", "size", "codes").groupBy("of").cogroup(mine.groupBy("block")).applyInArrow(_assembler(counts, schema), f"{ddl}, " + ("n_tokens bigint" if counts else "ids array<int>"))
 
