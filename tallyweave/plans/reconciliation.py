@@ -9,7 +9,7 @@ from tallyweave.functions.text import newlines, nfc
 from tallyweave.operators import candidates as cand
 from tallyweave.operators import matching, records, reporting
 from tallyweave.plans.common import CURRENT as _R
-from tallyweave.plans.common import query
+from tallyweave.plans.common import SQL, query
 from tallyweave.plans.common import reconciliations as _recs
 from tallyweave.plans.data_quality import _FATES, _p2_events
 from tallyweave.sources import feeds
@@ -71,6 +71,12 @@ def source_a_feed(spark, sf):
     return feeds.source_a(spark, sf).drop("k")
 
 
+@query("""SELECT concat(s, '-', lpad(CAST(i AS VARCHAR), 6, '0')) rid, s side, CAST(DATE '2026-01-01' + CAST(i % 5 AS INT) AS DATE) d, CAST(100 + i AS DECIMAL(20,4)) amt, 'USD' ccy, CASE WHEN s = 'B' AND i % 8 = 0 THEN 'DEBIT' ELSE 'CREDIT' END dir, concat('REF-', lpad(CAST(i AS VARCHAR), 6, '0')) "ref" FROM range((SELECT count(*) FROM orders)) t(i), (VALUES ('A'), ('B')) x(s)""")
+def benchmark_pairs(spark, sf):
+    """As many generated pairs as there are orders."""
+    return feeds.pairs(spark, table(spark, sf, "orders").count()).drop("k")
+
+
 @query(f"{_FEEDS} SELECT {_FEED_COLS} FROM fb")
 def source_b_feed(spark, sf):
     return feeds.source_b(spark, sf).drop("k")
@@ -509,6 +515,41 @@ def stream_late_daily(spark, sf):
     return ingest.read_periods(spark, f"{scratch.root}/store", ["source_id"], ["amount"])
 
 
+def _in_order(spark, scratch: Scratch, parts: list[DataFrame], name: str) -> DataFrame:
+    """A stream of one file per part, in their order."""
+    path = f"{scratch.root}/{name}-files"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return ingest.file_stream(spark, path)
+
+
+@query(SQL["rate_limiter"])
+def stream_rate_limiter(spark, sf):
+    """The limiter with its state carried from micro-batch to micro-batch."""
+    scratch = Scratch(spark, "limiter")
+    events = table(spark, sf, "events").withColumn("us", F.expr(_EVENT_US)).select("user_id", "event_id", "us")
+    mid = (events.agg(F.avg("us").cast("long").alias("m")).first() or [0])[0] or 0
+    stream = _in_order(spark, scratch, [events.filter(F.col("us") < mid), events.filter(F.col("us") >= mid)], "events")
+    allowed = ingest.limit_rate(stream, "user_id", "us", "event_id", 86_400, 2)
+    allowed.writeStream.format("parquet").option("path", f"{scratch.root}/out").option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, user_id bigint, allowed boolean").parquet(f"{scratch.root}/out")
+
+
+@query(_WAVES.replace("SELECT f.a, f.b, f.outcome", "SELECT a, b, outcome, CAST(1 AS INT) \"version\", NULL old_a, NULL old_b FROM w1 UNION ALL SELECT f.a, f.b, f.outcome"))
+def stream_versions(spark, sf):
+    """Side A and most of side B arrive first, the rest of B late: the stream appends what the late records change."""
+    scratch = Scratch(spark, "versions-stream")
+    a, b = _ab(spark, sf)
+    stream = _in_order(spark, scratch, [a.unionByName(b.filter("k % 5 <> 0")), b.filter("k % 5 = 0")], "records")
+
+    def decide(records: DataFrame) -> DataFrame:
+        own = Scratch(spark, "decide")
+        return matching.decide(own, records.filter("side = 'A'"), records.filter("side = 'B'"))
+
+    ingest.version_decisions(stream, f"{scratch.root}/table", f"{scratch.root}/checkpoint", decide)
+    return spark.read.parquet(f"{scratch.root}/table/versions").select("a", "b", "outcome", "version", "old_a", "old_b")
+
+
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, a, b, rule FROM dec")
 def stream_reconcile(spark, sf):
     """Both feeds arrive as streams of files; every record is re-evaluated globally, none is dropped."""

@@ -38,3 +38,11 @@ def source_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical(feed: DataFrame) -> DataFrame:
     """rid, side, k, d, amt, ccy, dir, ref of the valid rows."""
     return feed.filter("valid").select("rid", "side", "k", "d", F.col("amount").try_cast("decimal(20,4)").alias("amt"), "ccy", "dir", "ref")
+
+
+def pairs(spark: SparkSession, n: int) -> DataFrame:
+    """2 n canonical rows: n payments on either side with common references, every eighth in another direction on side B."""
+    i = F.col("id")
+    number = F.lpad(i.cast("string"), 6, "0")
+    side = lambda s, d: spark.range(n).select(F.concat(F.lit(f"{s}-"), number).alias("rid"), F.lit(s).alias("side"), i.alias("k"), F.date_add(F.lit("2026-01-01").cast("date"), (i % 5).cast("int")).alias("d"), (100 + i).cast("decimal(20,4)").alias("amt"), F.lit("USD").alias("ccy"), d.alias("dir"), F.concat(F.lit("REF-"), number).alias("ref"))
+    return side("A", F.lit("CREDIT")).unionByName(side("B", F.when(i % 8 == 0, "DEBIT").otherwise("CREDIT")))

@@ -6,11 +6,17 @@ stored table in each micro-batch, and aggregates are kept as mergeable partials.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyweave.operators.late_events import Cutoffs, combine, merge_partials, partials
+from tallyweave.operators.matching import next_versions
 from tallyweave.operators.records import first_submissions
+from tallyweave.sources.tables import Scratch
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -80,3 +86,59 @@ def fan_out(stream: DataFrame, checkpoint: str, sinks: dict) -> None:
         kept.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def limit_rate(stream: DataFrame, key: str, micros: str, id_: str, seconds: int, limit: int) -> DataFrame:
+    """id, key, allowed of a stream in order of time: at most ``limit`` rows per key in windows that begin
+    with the first row after the last. The state of a key is the start of its window and a count."""
+    kind, idk = stream.schema[key].dataType.simpleString(), stream.schema[id_].dataType.simpleString()
+
+    def walk(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["_us", id_])  # of one key in one micro-batch
+        out = []
+        for t in rows["_us"].tolist():
+            if start is None or t - start >= seconds * 1_000_000:
+                start, n = t, 0
+            n += 1
+            out.append(n <= limit)
+        state.update((start, n))
+        yield pd.DataFrame({id_: rows[id_], key: name[0], "allowed": out})
+
+    kept = stream.filter(F.col(key).isNotNull() & F.col(micros).isNotNull()).select(key, id_, F.col(micros).alias("_us"))
+    return kept.groupBy(key).applyInPandasWithState(walk, f"{id_} {idk}, {key} {kind}, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def version_decisions(stream: DataFrame, folder: str, checkpoint: str, decide, key: str = "rid", order: str = "k") -> None:
+    """Records arrive; after each micro-batch all of them are decided anew and what changed is appended as versions.
+
+    Nothing is ever dropped as too late, and no decision is rewritten: a late record supersedes. The
+    records are at ``folder``/records, the versions (a, b, outcome, version, old_a, old_b, supersedes)
+    at ``folder``/versions, each divided by micro-batch, so that a repeated one replaces itself.
+    decide: DataFrame of records -> a, b, outcome.
+    """
+    spark = stream.sparkSession
+    records, versions = f"{folder}/records", f"{folder}/versions"
+
+    def write(batch: DataFrame, n: int) -> None:
+        fresh = first_submissions(batch, [key], order)
+        if _exists(spark, records):
+            fresh = fresh.join(spark.read.parquet(records).filter(F.col("batch_n") < n).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{records}/batch_n={n}")
+        now = decide(spark.read.parquet(records).filter(F.col("batch_n") <= n).drop("batch_n")).select("a", "b", "outcome")
+        scratch = Scratch(spark, "versions")
+        if _exists(spark, versions):
+            old = current_flags(spark.read.parquet(versions).filter(F.col("batch_n") < n))
+        else:
+            old = spark.createDataFrame([], "a string, b string, outcome string, version int, current boolean")
+        next_versions(scratch, scratch.put(old, "old"), now).write.mode("overwrite").parquet(f"{versions}/batch_n={n}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current_flags(versions: DataFrame) -> DataFrame:
+    """a, b, outcome, version, current of stored versions: those that none supersedes by its scope and number are current."""
+    scope = lambda a, b: F.concat_ws("|", F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    gone = versions.filter("version > 1").select(scope("old_a", "old_b").alias("k"), (F.col("version") - 1).alias("version"), F.lit(True).alias("gone")).distinct()
+    rows = versions.withColumn("k", scope("a", "b")).join(gone, ["k", "version"], "left")
+    return rows.select("a", "b", "outcome", F.col("version").cast("int").alias("version"), F.col("gone").isNull().alias("current"))
