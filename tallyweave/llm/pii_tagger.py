@@ -49,7 +49,7 @@ CANDIDATES = [
         re.I,
     ),
     re.compile(
-        rf"(?<![\w-])(?:\d{{1,5}}(?:{_S}bis|{_S}ter)?,?{_S}(?:rue|avenue|boulevard|chemin|impasse|all[eé][́]?e|place|quai|cours){_S}(?:d[eu]s?|de{_S}la|de{_S}l['’])[^\d\n,.|\"]{{3,34}}?(?=,|\.|$|\n|\||{_S}(?-i:[a-z]{{3,}})|{_S}\d|\"|{_S}#)|(?:calle|c/|avenida|avda\.?|plaza|paseo|camino){_S}d[^\d,|\"]{{3,34}}?(?:,{_S}|{_S}n[ºo]{_S}|{_S})\d{{1,5}}|[^\W\d_][\ẁ-ͯ-]*+(?:(?<=[\w-]str)\.|(?<=[\w-]straße)|(?<=[\w-]strasse)|(?<=[\w-]weg)|(?<=[\w-]platz)|(?<=[\w-]gasse)|(?<=[\w-]allee)|(?<=[\w-]damm)|(?<=[\w-]ufer)|(?<=[\w-]ring)){_S}\d{{1,4}}(?:{_S}?[a-d]\b)?)",
+        rf"(?<![\w-])(?:\d{{1,5}}(?:{_S}bis|{_S}ter)?,?{_S}(?:rue|avenue|boulevard|chemin|impasse|all[eé][́]?e|place|quai|cours){_S}(?:d[eu]s?|de{_S}la|de{_S}l['’])[^\d\n,.|\"]{{3,34}}?(?=,|\.|$|\n|\||{_S}(?-i:[a-z]{{3,}})|{_S}\d|\"|{_S}#)|(?:calle|c/|avenida|avda\.?|plaza|paseo|camino){_S}d[^\d,|\"]{{3,34}}?(?:,{_S}|{_S}n[ºo]{_S}|{_S})\d{{1,5}}|[^\W\d_][\ẁ-ͯ-]*+(?=\.?{_S}\d)(?:(?<=[\w-]str)\.|(?<=[\w-]straße)|(?<=[\w-]strasse)|(?<=[\w-]weg)|(?<=[\w-]platz)|(?<=[\w-]gasse)|(?<=[\w-]allee)|(?<=[\w-]damm)|(?<=[\w-]ufer)|(?<=[\w-]ring)){_S}\d{{1,4}}(?:{_S}?[a-d]\b)?)",
         re.I,
     ),
 ]
@@ -400,8 +400,28 @@ def default_weights(rows: int = 6000, seed: int = 11) -> dict[str, np.ndarray]:
     return train(labelled_rows(rows, seed))
 
 
+def _open(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each stretch whether its best path may have another tag than O.
+
+    It can't if no entity that begins at any of its tokens and goes on as far as it pays scores as much
+    as O there, even if every transition it has were the best of all.
+    """
+    d = max(0.0, float(trans[ALLOWED].max() - trans[0, 0]))
+    some = np.zeros(len(e), bool)
+    for k in range(1, L, 2):
+        on = np.cumsum(e[:, k + 1].astype(np.float64) - e[:, 0] + d)
+        # the greatest sum of going on from the next token to any later one of the stretch: each stretch lies below the one before it
+        low = on - row * (2 * float(np.abs(on).max()) + 1)
+        best = np.maximum.accumulate(low[::-1])[::-1]
+        more = np.zeros(len(e))
+        same = row[1:] == row[:-1]
+        more[:-1][same] = np.maximum(0, best[1:][same] - low[:-1][same])
+        some |= e[:, k] - e[:, 0] + 2 * d + more >= -1e-3
+    return np.logical_or.reduceat(some, begin)
+
+
 def viterbi(w: dict[str, np.ndarray], b: Batch, width: int = 400_000) -> np.ndarray:
-    """Best tag of each token; stretches of like length are decoded together."""
+    """Best tag of each token; stretches that aren't certainly O are decoded, those of like length together."""
     tags = np.zeros(b.n, np.int8)
     if not b.n:
         return tags
@@ -410,11 +430,13 @@ def viterbi(w: dict[str, np.ndarray], b: Batch, width: int = 400_000) -> np.ndar
     begin = np.flatnonzero(first)
     size = np.diff(np.append(begin, b.n))
     trans = np.where(ALLOWED, w["trans"], np.float32(-1e4)).astype(np.float32)
+    keep = np.flatnonzero(_open(e, w["trans"], begin, np.cumsum(first) - 1))
+    begin, size = begin[keep], size[keep]
     order = np.argsort(size, kind="stable")
     i = 0
     while i < len(order):
         j = i
-        while j < len(order) and (j - i + 1) * int(size[order[j]]) <= max(width, int(size[order[i]])) and size[order[j]] <= 2 * size[order[i]] + 8:
+        while j < len(order) and (j - i + 1) * int(size[order[j]]) <= max(width, int(size[order[i]])) and size[order[j]] <= 2 * size[order[i]] + 4:
             j += 1
         pick = order[i:j]
         i = j
@@ -422,10 +444,11 @@ def viterbi(w: dict[str, np.ndarray], b: Batch, width: int = 400_000) -> np.ndar
         score = np.where(START, e[st], np.float32(-1e4))
         back = np.zeros((t_max, len(pick), L), np.int8)
         for t in range(1, t_max):
-            live = t < s
+            live = np.flatnonzero(t < s)
             x = score[live][:, :, None] + trans[None]
-            back[t, live] = x.argmax(axis=1)
-            score[live] = x.max(axis=1) + e[st[live] + t]
+            best = x.argmax(axis=1)
+            back[t, live] = best
+            score[live] = np.take_along_axis(x, best[:, None, :], 1)[:, 0] + e[st[live] + t]
         tag = score.argmax(axis=1)
         for t in range(t_max - 1, -1, -1):
             live = np.flatnonzero(t < s)
