@@ -37,6 +37,8 @@ FORM_SHARE = 0.18
 ORG_WORDS = "Holdings Logistics Systems Trading Services Insurance Partners Capital Group Energy Foods Motors Telecom Pharma Media Software Consulting Airlines Shipping Textiles Mining Solar Group Industries".split()
 LEGAL = ["Ltd", "Ltd.", "LLC", "LLP", "Inc", "Inc.", "Corp", "plc", "PLC", "GmbH", "AG", "KG", "SE", "SARL", "S.A.", "SA", "SAS", "S.L.", "BV", "N.V.", "AB", "Oy", "SpA", "Pty Ltd", "& Co", "& Sons"]
 TOWNS = ["Norwich", "Leipzig", "Grenoble", "Zaragoza", "Plymouth", "Augsburg", "Saint-Étienne", "Vitoria", "Cork", "Kassel", "Aix-en-Provence", "Port Talbot", "Great Yarmouth", "Bad Homburg", "San Sebastián", "Den Haag", "New Haven", "Santa Rosa", "Fort Worth", "La Rochelle"]
+# Words that place names begin with.
+TOWN_HEADS = "port new san santa saint fort bad great den la le los upper lower north south east west mount lake st ober nieder villa".split()
 TOWN_PARTS = ["Port {}", "New {}", "Saint-{}", "Bad {}", "Ober{l}", "Nieder-{}", "{}-sur-Mer", "Villa{l}", "{}burg", "{}ville", "{}ton", "{}dorf", "San {}", "Great {}", "{} Bay", "{}"]
 EN_STREETS = ["Maple", "Victoria", "Church", "King's", "Station", "Mill Brook", "Oak", "Queen's", "Abbey", "Windsor", "Highfield", "Park View", "Cedar", "Washington", "Long Acre", "Bishop's", "Chestnut Hill", "St. Andrew's", "Lower Meadow", "Oxford", "High", "Two Mile", "Garden", "Fifth"]
 EN_KINDS = ["Street", "St", "St.", "Road", "Rd", "Rd.", "Avenue", "Ave", "Ave.", "Lane", "Ln", "Ln.", "Drive", "Dr", "Court", "Ct", "Way", "Row", "Terrace", "Close", "Crescent", "Place", "Boulevard", "Blvd", "Blvd."]

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tallyweave.llm.pii_examples import COMMON, EN_KINDS, FORMS, LEGAL, ORG_WORDS, PARTICLES, frame_words, labelled_rows, unmark
+from tallyweave.llm.pii_examples import COMMON, EN_KINDS, FORMS, LEGAL, ORG_WORDS, PARTICLES, TOWN_HEADS, frame_words, labelled_rows, unmark
 
 TYPES = ("NAME", "EMAIL", "PHONE", "ID_NUMBER", "ADDRESS")
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
@@ -68,7 +68,7 @@ _ROAD = set(_STREET_END.split("|")) | {"rue", "avenue", "boulevard", "chemin", "
 
 
 #: Words the field may know by themselves; all others are only known by shape, ending and surroundings.
-KNOWN = frozenset(frame_words()) | {w.casefold() for w in COMMON}
+KNOWN = frozenset(frame_words()) | {w.casefold() for w in COMMON} | set(TOWN_HEADS)
 #: Shares of the words that training takes for unknown, and whose ending it hides, anew in every place.
 DROPPED, NO_ENDING = 0.3, 0.6
 _UNKNOWN, _BLUNT = "\x00", "\x01"

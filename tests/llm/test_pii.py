@@ -24,7 +24,7 @@ def test_held_out_accuracy():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    text = "Granted by Laura Blackwell on 2026-01-15, then read by Mr. Langley.\nHer line is +44 20 7946 0123. Write to desk [at] bluebank [dot] example or <a.b@x.test>. The papers show SSN 212-33-4567. They moved to 12b N. Lavender Road, Apt 3, Bristol."
+    text = "Granted by Svetlana Volkov on 2026-01-15, then read by Mr. Langley.\nHer line is +44 20 7946 0123. Write to desk [at] bluebank [dot] example or <a.b@x.test>. The papers show SSN 212-33-4567. They moved to 12b N. Lavender Road, Apt 3, Bristol."
     rows = [(1, text, "c"), (2, None, "c"), (3, "", "c"), (4, " \n ", "c"), (5, text * 40, "c"), (6, "Banco Castillo shipped 7 boxes @ 9.99 each to Bristol.", "c"), (1, text, "c")]
     return spark.createDataFrame(rows, "doc_id long, text string, pii_type string"), text
 
@@ -33,7 +33,7 @@ def test_found(spark, docs):
     df, text = docs
     rows = find_pii(spark, df, rows=ROWS).collect()
     got = {(r.pii_type, r.pii_text) for r in rows if r.doc_id == 1}
-    assert got == {("NAME", "Laura Blackwell"), ("NAME", "Langley"), ("PHONE", "+44 20 7946 0123"), ("EMAIL", "desk [at] bluebank [dot] example"), ("EMAIL", "a.b@x.test"), ("ID_NUMBER", "212-33-4567"), ("ADDRESS", "12b N. Lavender Road")}
+    assert got == {("NAME", "Svetlana Volkov"), ("NAME", "Langley"), ("PHONE", "+44 20 7946 0123"), ("EMAIL", "desk [at] bluebank [dot] example"), ("EMAIL", "a.b@x.test"), ("ID_NUMBER", "212-33-4567"), ("ADDRESS", "12b N. Lavender Road")}
     assert {r.doc_id for r in rows} == {1, 5} and all(r.pii_text in text for r in rows if r.doc_id == 1)
     assert find_pii(spark, df.limit(0), rows=ROWS).count() == 0
 

@@ -77,8 +77,8 @@ def test_names_and_sentences_that_training_never_saw(monkeypatch):
 
 def test_plain_sentences_with_common_names():
     w = pt.default_weights()
-    names = ["Alice Blackwell", "Kevin Langley", "Hannah Vogel", "Roberto Castillo", "Chloé Rousseau", "Deepak Mukherjee", "Takeshi Nakamura", "Svetlana Volkov", "Patricia Hamilton", "Gustav Lindqvist"]
-    frames = ["I met {} at noon.", "The letter is for {}.", "{} was not at home.", "Please call {} back.", "Signed: {}"]
-    texts = [f.format(n) for n in names for f in frames]
-    hits = sum(("NAME", t.find(n), t.find(n) + len(n)) in s for (n, t), s in zip([(n, f.format(n)) for n in names for f in frames], pt.find_spans(w, texts)))
-    assert hits >= 45, hits
+    names = "Alice Blackwell,Kevin Langley,Hannah Vogel,Roberto Castillo,Chloé Rousseau,Deepak Mukherjee,Takeshi Nakamura,Svetlana Volkov,Patricia Hamilton,Gustav Lindqvist,Laura Bianco,Omar Farouk,Mei Lin,Fatima Zahra,Carlos Mendes,Ingeborg Haas,Brenda Walsh,Dmitry Sokolov,Aaliyah Johnson,Pedro Alves".split(",")
+    frames = ["I met {} at noon.", "The letter is for {}.", "{} was not at home.", "Please call {} back.", "Signed: {}", "Granted by {} on 2026-01-15.", "Written by {} on 12 May 2026.", "Today {} and her lawyer appeared.", "We gave {} a new key.", "Is {} the owner?"]
+    cases = [(n, f.format(n)) for n in names for f in frames]
+    hits = sum(("NAME", t.find(n), t.find(n) + len(n)) in s for (n, t), s in zip(cases, pt.find_spans(w, [t for _, t in cases])))
+    assert hits >= 174, hits  # of 200
