@@ -75,6 +75,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fates.select(F.col("canonical_id").alias("record_key"), "fate").unionByName(corrected)
 
 
+# The outcomes of decisions about records.
 OUTCOMES = ("MATCHED", "MISMATCHED", "UNMATCHED_A", "UNMATCHED_B", "AMBIGUOUS", "DUPLICATE")
 
 

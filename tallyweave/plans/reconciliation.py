@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.text import newlines, nfc
 from tallyweave.operators import candidates as cand
 from tallyweave.operators import matching, records, reporting
+from tallyweave.operators.documents import EXPORT_TERMS
 from tallyweave.plans.common import CURRENT as _R
 from tallyweave.plans.common import SQL, query
 from tallyweave.plans.common import reconciliations as _recs
@@ -394,7 +395,7 @@ def scope_filtered_rows(spark, sf):
 @query("SELECT event_id, CASE WHEN regexp_matches(lower(k), 'payload|description|secret|token|credential') THEN '[REDACTED]' ELSE v END \"value\", k \"key\" FROM (SELECT event_id, unnest(['event_type', 'session_token', 'Description']) k, unnest([event_type, CAST(user_id AS VARCHAR), props]) v FROM events)")
 def export_redacted(spark, sf):
     m = F.map_from_arrays(F.array(*map(F.lit, ("event_type", "session_token", "Description"))), F.array("event_type", F.col("user_id").cast("string"), "props"))
-    return table(spark, sf, "events").select("event_id", F.explode(reporting.redact(m, ("payload", "description", "secret", "token", "credential"))).alias("key", "value"))
+    return table(spark, sf, "events").select("event_id", F.explode(reporting.redact(m, EXPORT_TERMS)).alias("key", "value"))
 
 
 @query(f"{_R} SELECT reconciliation_id, outcome, state FROM cur WHERE outcome IN ('MISMATCHED', 'AMBIGUOUS') ORDER BY outcome, reconciliation_id LIMIT 5")
