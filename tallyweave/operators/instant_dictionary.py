@@ -73,5 +73,6 @@ class InstantDictionary:
         distinct = rest.select(*KEYS).distinct()
         total = rest.count()
         self.extend(distinct, total)
-        entries = self.read().filter(F.col("micros").isNotNull())
+        # two runs at once may have parsed the same text, with the same result
+        entries = self.read().filter(F.col("micros").isNotNull()).groupBy(*KEYS).agg(F.min("micros").alias("micros"))
         return keyed.filter("micros is not null").unionByName(salted_lookup(rest, entries, KEYS, F.col(row_key), total))
