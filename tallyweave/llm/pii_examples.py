@@ -211,6 +211,21 @@ PMT {K} {A}{U} {M}
 - {N} to check {K}
 * {P} no answer, {E} bounced
 Assigned: {N}; watchers: {N}, {N}
+He told {N} to wait.
+This is for {N}.
+These papers belong to {N}.
+Call {N}.
+We saw {N} today.
+Hand it to {N}, please.
+She knows {N} well.
+Who is {N}?
+{N} is ill.
+{N} has no account.
+A friend of {N} paid {M}.
+Met with {N} in {T} on {D}.
+Paid by {N} on {D}.
+Drawn up by {N}.
+For {N} only.
 {J} {N} asked about the {C}.
 {J} {N} lives at {A}{U} and pays {M}.
 {J} {N}: {I}
@@ -445,7 +460,7 @@ class Maker:
         s = self.surname()
         o = r.choice([
             f"{s} {r.choice(ORG_WORDS)}", f"{s} {r.choice(LEGAL)}", f"{s} {r.choice(ORG_WORDS)} {r.choice(LEGAL)}", f"{s} & {self.surname()} {r.choice(LEGAL)}", f"{s}, {self.surname()} & Partners",
-            f"{r.choice(['Bank', 'Banque', 'Banco', 'Banca', 'Sparkasse', 'Caixa', 'Crédit', 'Grupo'])} {s}", f"{s} {r.choice(['Bank', 'Trust', 'Foundation', 'University', 'Hospital', 'Hotel'])}", f"{self.given()} {s} {r.choice(LEGAL)}", f"{r.choice(ORG_WORDS)} {s} {r.choice(LEGAL)}",
+            f"{r.choice(['Bank', 'Banque', 'Banco', 'Banca', 'Sparkasse', 'Caixa', 'Crédit', 'Grupo'])} {s}", f"{s} {r.choice(['Bank', 'Trust', 'Foundation', 'University', 'Hospital', 'Hotel'])}", f"{self.given()} {s} {r.choice(LEGAL)}", f"{r.choice(ORG_WORDS)} {s} {r.choice(LEGAL)}", f"{s} {self.word()}", f"{s} {self.word()}",
         ])
         return o.upper() if r.random() < 0.06 else o
 

@@ -395,9 +395,15 @@ def train(rows: list[str], steps: int = 240, parts: int = 4, rate: float = 0.04,
     return mean
 
 
+#: Added to the score of every token to begin a name: a name missed is worse than a word replaced.
+NAME_LEAN = 0.75
+
+
 @lru_cache(maxsize=2)
 def default_weights(rows: int = 6000, seed: int = 11) -> dict[str, np.ndarray]:
-    return train(labelled_rows(rows, seed))
+    w = train(labelled_rows(rows, seed))
+    w["bias"][0, TAGS.index("B-NAME")] += NAME_LEAN
+    return w
 
 
 def _open(e: np.ndarray, trans: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
