@@ -58,7 +58,7 @@ LABELS_ID = {
     "ssn": ["SSN", "SSN", "Social Security", "social security", "Soc. Sec.", "SS"],
     "ni": ["NI", "NINO", "National Insurance", "nat. ins."],
     "nir": ["NIR", "INSEE", "numéro de sécurité sociale", "sécu"],
-    "tax": ["tax", "tax ID", "Steuer-ID", "Steuernummer", "TIN", "numéro fiscal", "fiscal code"],
+    "tax": ["tax", "tax ID", "Steuer-ID", "Steuernummer", "TIN", "numéro fiscal", "fiscal code", "IdNr."],
     "dni": ["DNI", "NIF", "ID card", "national ID", "NIE"],
     "pass": ["passport", "Passport", "Reisepass", "passeport", "pasaporte", "Personalausweis", "travel document"],
 }
@@ -523,7 +523,7 @@ class Maker:
 
     def ident(self) -> str:
         d, r = self.digits, self.r
-        kind = r.choice(list(LABELS_ID))
+        kind = r.choice([*LABELS_ID, "tax", "ssn"])
         sp = r.random() < 0.5
         two = self.letters(2)
         bare = kind not in ("tax", "pass") and r.random() < 0.15
@@ -532,7 +532,7 @@ class Maker:
             "ssn": f"{d(3)}-{d(2)}-{d(4)}" if bare else r.choice([f"{d(3)}{s}{d(2)}{s}{d(4)}" for s in ("-", " ", ".", "", "", "-")]),
             "ni": f"{two} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}" if sp else f"{two}{d(6)}{r.choice('ABCD')}",
             "nir": f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)}" if sp else f"{r.choice('12')}{d(12)}",
-            "tax": f"{d(2)} {d(3)} {d(3)} {d(3)}" if sp else d(11),
+            "tax": f"{d(2)} {d(3)} {d(3)} {d(3)}" if r.random() < 0.3 else d(11),
             "dni": f"{d(8)}{r.choice(['', ' ', '-', ''])}{r.choice('ABCDEFGHJKLMNPQRSTVWXYZ')}",
             "pass": f"{two}{d(7)}" if sp else f"{two[0]}{d(8)}",
         }[kind]

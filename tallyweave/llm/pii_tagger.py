@@ -396,7 +396,7 @@ def train(rows: list[str], steps: int = 240, parts: int = 4, rate: float = 0.04,
 
 
 #: Added to the score of every token to begin a name: a name missed is worse than a word replaced.
-NAME_LEAN = 0.75
+NAME_LEAN = 1.25
 
 
 @lru_cache(maxsize=2)
