@@ -70,6 +70,44 @@ def hits(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
     return out.select("rid", "side", "nref", "pref", "namt", "pamt", "nboth")
 
 
+_KEYS = {BY_REFERENCE: ["ref"], BY_AMOUNT: ["ccy", "amt", "d"]}
+
+
+def _class_rows(nodes: DataFrame, index: str) -> DataFrame:
+    keys = _KEYS[index]
+    rows = nodes.select("rid", "side", F.when(F.col("ref") != "", F.col("ref")).alias("ref"), "ccy", "amt", "d")
+    return rows.filter(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])).select("rid", "side", *keys)
+
+
+def class_members(nodes: DataFrame, total: int) -> DataFrame:
+    """index, side, class, rid: records of one side that an index can't tell apart, named by the smallest."""
+    out = None
+    for index, keys in _KEYS.items():
+        rows = _class_rows(nodes, index)
+        name = rows.groupBy("side", *keys).agg(F.min("rid").alias("class"))
+        one = salted_lookup(rows, name, ["side", *keys], F.col("rid"), total).select(F.lit(index).alias("index"), "side", "class", "rid")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def class_links(nodes: DataFrame, days: int = 2) -> DataFrame:
+    """index, class_a, class_b, n_a, n_b: which classes of the two sides are candidates of each other.
+
+    With :func:`class_members` this holds every pair of :func:`candidates` without expanding equal records
+    into pairs: a key with n records a side gives one row, not n squared.
+    """
+    out = None
+    for index, keys in _KEYS.items():
+        per = _class_rows(nodes, index).groupBy("side", *keys).agg(F.min("rid").alias("class"), F.count(F.lit(1)).alias("n"))
+        mine = lambda s: per.filter(F.col("side") == s.upper()).select(*keys, F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"))  # noqa: E731, B023
+        a = mine("a")
+        if index == BY_AMOUNT:
+            a = a.withColumn("d", F.explode(F.sequence(F.date_sub("d", days), F.date_add("d", days))))
+        one = a.join(mine("b"), keys).select(F.lit(index).alias("index"), "class_a", "class_b", "n_a", "n_b")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def distribution(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
     """Per side: records, and minimum, median, maximum and sum of candidates per record, zeros included."""
     n = F.col("nref") + F.col("namt") - F.col("nboth")

@@ -98,6 +98,22 @@ def candidates_union(spark, sf):
     return _pairs(spark, sf)
 
 
+_CLASSES = """, al AS (SELECT rid, side, ref, ccy, amt, d FROM ca UNION ALL SELECT rid, side, ref, ccy, amt, d FROM cb),
+cm AS (SELECT 'IDX-REFERENCE' "index", side, min(rid) OVER (PARTITION BY side, ref) "class", rid FROM al WHERE ref IS NOT NULL AND ref <> '' UNION ALL SELECT 'IDX-AMOUNT-CURRENCY-DATE', side, min(rid) OVER (PARTITION BY side, ccy, amt, d), rid FROM al)"""
+
+
+@query(f"{_FEEDS}{_CLASSES} SELECT * FROM cm")
+def candidate_class_members(spark, sf):
+    return cand.class_members(*_nodes(spark, sf))
+
+
+@query(f"""{_FEEDS}{_CAND}{_CLASSES}, pr AS (SELECT 'IDX-REFERENCE' "index", a, b FROM jr UNION ALL SELECT 'IDX-AMOUNT-CURRENCY-DATE', a, b FROM ja)
+SELECT p."index", x."class" class_a, y."class" class_b, count(DISTINCT p.a) n_a, count(DISTINCT p.b) n_b FROM pr p JOIN cm x ON x."index" = p."index" AND x.rid = p.a JOIN cm y ON y."index" = p."index" AND y.rid = p.b GROUP BY ALL""")
+def candidate_class_links(spark, sf):
+    """All candidate pairs, as pairs of classes; the SQL forms the pairs and gathers them."""
+    return cand.class_links(_nodes(spark, sf)[0])
+
+
 @query(f"{_FEEDS}{_CAND} SELECT a, b, isref, isamt FROM cand WHERE a = 'A-38' OR b = 'A-38'")
 def candidates_of_target(spark, sf):
     return cand.candidates_of(spark.createDataFrame([("A-38",)], "rid string"), *_ab(spark, sf))
