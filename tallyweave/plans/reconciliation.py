@@ -169,6 +169,23 @@ def decisions(spark, sf):
     return _decisions(spark, sf)
 
 
+_SIDES = """WITH tx AS (SELECT DISTINCT t.canonical_id rid, t.amount amt, t.currency ccy, t.direction dir, nullif(t.transaction_reference, '') ref, CAST(DATE '1970-01-01' + CAST(floor(epoch_us(t.occurred_at) / 86400000000) AS INT) AS DATE) d, list_contains(s.schema_versions, 'source_a.v1') is_a FROM canonical_transactions t JOIN sources s USING (source_id)),
+ca AS (SELECT *, 'A' side FROM tx WHERE is_a), cb AS (SELECT *, 'B' side FROM tx WHERE NOT is_a)"""
+
+
+@query(f"{_SIDES}{_CAND}{_SEL} SELECT outcome, a, b, rule FROM dec")
+def transaction_decisions(spark, sf):
+    """The decisions about all canonical transactions, of which superseded versions stay in the pool."""
+    schemas = F.col("schema_versions")
+    sides = table(spark, sf, "sources").select("source_id", F.when(F.array_contains(schemas, "source_a.v1"), "A").otherwise("B").alias("side")).dropDuplicates(["source_id"])
+    can = table(spark, sf, "canonical_transactions").select("canonical_id", "source_id", "occurred_at", "amount", "currency", "direction", "transaction_reference").dropDuplicates(["canonical_id"])
+    day = F.date_from_unix_date(F.floor(F.unix_micros("occurred_at") / F.lit(86_400_000_000)).cast("int"))
+    rows = can.join(sides, "source_id").select(F.col("canonical_id").alias("rid"), "side", day.alias("d"), F.col("amount").alias("amt"), F.col("currency").alias("ccy"), F.col("direction").alias("dir"), F.col("transaction_reference").alias("ref"))
+    scratch = Scratch(spark, "transactions")
+    stored = scratch.put(rows, "rows")
+    return matching.decide(scratch, stored.filter("side = 'A'"), stored.filter("side = 'B'"))
+
+
 @query(f"{_FEEDS}{_CAND}{_SEL} SELECT outcome, count(*) n FROM (SELECT outcome FROM dec UNION ALL SELECT 'INVALID' FROM fa WHERE NOT valid) GROUP BY outcome")
 def outcome_counts(spark, sf):
     bad = feeds.source_a(spark, sf).filter("not valid").select(F.lit("INVALID").alias("outcome"))
@@ -377,11 +394,6 @@ def batch_counters(spark, sf):
     return _counters(spark, sf)
 
 
-@query(f"{_COUNTERS} SELECT batch_id FROM b WHERE decided <> matched + mismatched + ambiguous + duplicate + unmatched + undecided + invalid")
-def counter_violations(spark, sf):
-    return _counters(spark, sf).filter("decided <> matched + mismatched + ambiguous + duplicate + unmatched + undecided + invalid").select("batch_id")
-
-
 @query(f"""{_R} SELECT coalesce(outcome, state) outcome, count(*) n_all, CAST(count_if(reconciliation_id IN (SELECT reconciliation_id FROM cur)) AS BIGINT) n_current FROM r GROUP BY 1""")
 def report_summary(spark, sf):
     r = _recs(spark, sf)
