@@ -72,7 +72,7 @@ WORD_NAMES = 0.12  # share of given and family names that are ordinary words of
 
 
 # Slots: N name, E e-mail, P phone, I identity number, A address, U what follows an address, O organisation, T town, C topic,
-# K code, X several words of code, J role, S a sign between two things, M money, D date, H time, # number, G another sentence.
+# K code, X several words of code, J role, S a sign between two things, W any word of the frames, M money, D date, H time, # number, G another sentence.
 POSITIVE = r"""
 Dear {N}, thank you for writing to us.
 {N} opened the case {K} this morning.
@@ -211,6 +211,12 @@ PMT {K} {A}{U} {M}
 - {N} to check {K}
 * {P} no answer, {E} bounced
 Assigned: {N}; watchers: {N}, {N}
+{W} {W} {N} {W} {W}.
+{W} {N} {W} {W} {W}.
+{W} {W} {W} {N}.
+{W} {W} {W} {N} {W}, {W} {W}.
+Nothing {W} from {N} {W} {W}.
+{W} {W} between {N} and {O} {W}.
 He told {N} to wait.
 This is for {N}.
 These papers belong to {N}.
@@ -248,6 +254,9 @@ Her card shows {I} and the date {D}.
 Both numbers, {I} and {I}, were sent.
 """.strip().split("\n")
 NEGATIVE = r"""
+{W} {W} {O} {W} {W}.
+{W} {W} {W} in {T} {W}.
+{W} {W} from {T} {W} {W}.
 Thank you for your message about the {C}.
 The {C} of {M} was paid on {D}.
 Please find the {C} for {D} enclosed.
@@ -392,6 +401,7 @@ def frame_words() -> list[str]:
     return sorted({w.casefold() for p in fixed for w in re.findall(r"[^\W\d_]+", p)})
 
 
+SMALL = sorted(set(frame_words()) | set(COMMON))
 WORDS = [w for w in frame_words() if len(w) > 3 and w.isascii()]
 
 
@@ -585,7 +595,7 @@ class Maker:
         out, rest = [], pattern.replace("\\n", "\n")
         slots = {
             "N": self.name, "E": self.email, "P": self.phone, "I": self.ident, "A": self.address, "U": self.unit, "O": self.org, "T": self.town, "K": self.code, "X": self.codes, "M": self.money, "D": self.day, "H": self.hour, "#": self.number,
-            "C": lambda: self.r.choice(TOPICS), "J": lambda: self.r.choice(ROLES), "S": lambda: self.r.choice(SIGNS), "G": lambda: self.fill(self.r.choice([p for p in NEGATIVE if "\\n" not in p and p[0] not in "#|["])),
+            "C": lambda: self.r.choice(TOPICS), "W": lambda: self.r.choice(SMALL), "J": lambda: self.r.choice(ROLES), "S": lambda: self.r.choice(SIGNS), "G": lambda: self.fill(self.r.choice([p for p in NEGATIVE if "\\n" not in p and p[0] not in "#|["])),
         }
         while (i := rest.find("{")) >= 0:
             if rest[i + 2 : i + 3] != "}":

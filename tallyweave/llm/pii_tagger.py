@@ -396,7 +396,7 @@ def train(rows: list[str], steps: int = 240, parts: int = 4, rate: float = 0.04,
 
 
 #: Added to the score of every token to begin a name: a name missed is worse than a word replaced.
-NAME_LEAN = 1.25
+NAME_LEAN = 1.0
 
 
 @lru_cache(maxsize=2)
@@ -516,6 +516,8 @@ def _possible(kind: str, text: str, i: int, j: int, written: bool) -> bool:
     if text[i - 1 : i] == "_" or any(ch.isdigit() or ch in "_@/|:;()[]{}<>=&\"" for ch in span) or _AFTER.match(text, j):
         return False
     words = span.split()
+    if len(words[-1]) == 1 and text[j : j + 1] in {"'", "’"}:  # an elided article
+        return False
     capital = [w for w in words if w[0].isupper() and not _ELIDED.match(w)]
     if capital and any(w[0].islower() and w.casefold() not in _SMALL and not w.startswith(("al-", "d'", "d’")) for w in words):
         return False
