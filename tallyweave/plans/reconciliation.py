@@ -59,9 +59,7 @@ def _selections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf: str) -> DataFrame:
-    scratch = Scratch(spark, "decide")
-    a, b = _ab(spark, sf)
-    return matching.decide(scratch, scratch.put(a, "a"), scratch.put(b, "b"))
+    return matching.decide(Scratch(spark, "decide"), *_ab(spark, sf))
 
 
 _FEED_COLS = "rid, side, d, amount, ccy, dir, ref, valid"
@@ -227,8 +225,9 @@ def late_arrival_versions(spark, sf):
 @query("SELECT 0 added")
 def pipeline_idempotent_replay(spark, sf):
     """Deciding again over the same records adds no version."""
-    scratch = Scratch(spark, "replay")
-    done = scratch.put(_decisions(spark, sf).select("a", "b", "outcome"), "decisions")
+    scratch, own = Scratch(spark, "replay"), Scratch(spark, "replay-first")
+    done = scratch.put(matching.decide(own, *_ab(spark, sf)).select("a", "b", "outcome"), "decisions")
+    own.clear()
     old = done.select("a", "b", "outcome", F.lit(1).alias("version"), F.lit(True).alias("current"))
     return matching.next_versions(scratch, old, _decisions(spark, sf).select("a", "b", "outcome")).agg(F.count(F.lit(1)).cast("int").alias("added"))
 

@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,24 @@ def _remove_local(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+#: Rows up to which a table is handled in one go, and the number of divisions of a larger one. The number is fixed, so that
+#: scans grow with the table and not with its square.
+WHOLE, DIVISIONS = 1_000_000, 4
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(df: DataFrame) -> Iterator[None]:
+    """Shuffle files of what ``df`` runs within are deleted when it has run, instead of when the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder.
 
@@ -70,7 +90,8 @@ class Scratch:
         """Write ``df`` and return the table read back."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(df):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tallyweave_path = path
         return out
@@ -82,6 +103,25 @@ class Scratch:
         out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n"), *rest), name)
         return out, seen.get
 
+    def put_divisions(self, parts: Iterable[DataFrame], name: str = "t") -> tuple[DataFrame, int]:
+        """Write tables of one schema one after the other as one table, so that only one's shuffle files lie on
+        disk at a time; return it with its number of rows."""
+        self._n += 1
+        path, total, schema = f"{self.root}/{self._n:03d}-{name}", 0, None
+        for df in parts:
+            seen, schema = Observation(), df.schema
+            with shuffles_removed(df):
+                df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", "zstd").parquet(path)
+            total += seen.get["n"]
+        out = self.spark.read.schema(schema).parquet(path)
+        out._tallyweave_path = path
+        return out, total
+
+    def clear(self) -> None:
+        """Delete all its tables, when no later step reads any."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete scratch tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -107,3 +147,29 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], row_key,
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(scratch: Scratch, rows: DataFrame, keys: list[str], per_task: int = 1_000_000) -> tuple[DataFrame | None, int]:
+    """The keys of more than ``per_task`` rows (None if there are none), and the number of rows.
+
+    Rows are counted by 65,536 hashes of their keys first; only those of a hash with so many rows are
+    counted by key, so no shuffle has a row per key. There are at most 20,000 such keys.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(65_536)).alias("_h")
+    sizes, seen = scratch.put_counted(rows.select(bucket).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), "sizes", rows=F.sum("_n"), most=F.max("_n"))
+    total = seen["rows"] or 0
+    per_task = max(per_task, total // 20_000)
+    if (seen["most"] or 0) <= per_task:
+        return None, total
+    full = rows.select(*keys, bucket).join(F.broadcast(sizes.filter(F.col("_n") > per_task).select("_h")), "_h")
+    hot, found = scratch.put_counted(full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_task).select(*keys), "hot")
+    return (hot if found["n"] else None), total
+
+
+def even_lookup(scratch: Scratch, rows: DataFrame, lookup: DataFrame, keys: list[str], per_task: int = 1_000_000) -> DataFrame:
+    """Left join of ``rows`` to ``lookup`` (unique on ``keys``); rows of hot keys are looked up where they are, without a shuffle."""
+    hot, _ = hot_keys(scratch, rows, keys, per_task)
+    if hot is None:
+        return rows.join(lookup, keys, "left")
+    few = scratch.put(lookup.join(F.broadcast(hot), keys, "left_semi"), "few")
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, "left").unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, "left"))
