@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.sources.tables import Scratch, even_lookup, hot_keys, salted_lookup
+from tallyweave.sources.tables import DIVISIONS, Scratch, divided, hot_keys, salted_lookup
 
 BY_REFERENCE, BY_AMOUNT = "IDX-REFERENCE", "IDX-AMOUNT-CURRENCY-DATE"
 
@@ -73,8 +74,8 @@ def hits(nodes: DataFrame, total: int, days: int = 2) -> DataFrame:
 VALUES = ["ccy", "amt", "dir"]
 
 
-def by_first_rule(scratch: Scratch, rows: DataFrame, per_task: int = 1_000_000) -> DataFrame:
-    """node, side, n, pick, outcome, ccy, amt, dir, d: what the reference says of each row of both sides.
+def by_first_rule(scratch: Scratch, rows: DataFrame, per_task: int = 1_000_000) -> Iterator[DataFrame]:
+    """node, side, n, pick, outcome, ccy, amt, dir, d: what the reference says of each row of both sides, in divisions.
 
     n: counterparts by reference, null without one; pick: the one of n = 1. Two records that have a
     reference to themselves are one row, A's, with the outcome of the pair. Rows go through one shuffle
@@ -84,38 +85,47 @@ def by_first_rule(scratch: Scratch, rows: DataFrame, per_task: int = 1_000_000)
     a, b = F.col("side") == "A", F.col("side") == "B"
     rows = rows.select(F.col("rid").alias("node"), "side", F.when(F.col("ref") != "", F.col("ref")).alias("ref"), *VALUES, "d")
     some = rows.filter("ref is not null")
-    hot, _ = hot_keys(scratch, some, ["ref"], per_task)
+    hot, total = hot_keys(scratch, some, ["ref"], per_task)
     first = lambda s: F.min(F.when(s, F.struct("node", *VALUES)))
     counts = {"na": F.count_if(a), "nb": F.count_if(b), "ma": first(a), "mb": first(b)}
     own = Window.partitionBy("ref")
-    cold = (some if hot is None else some.join(F.broadcast(hot), "ref", "left_anti")).withColumns({k: v.over(own) for k, v in counts.items()})
-    if hot is not None:
-        many = some.join(F.broadcast(hot), "ref", "left_semi")
-        per = scratch.put(many.groupBy("ref").agg(*[v.alias(k) for k, v in counts.items()]), "per")
-        cold = cold.unionByName(many.join(F.broadcast(per), "ref"))
     two = (F.col("na") == 1) & (F.col("nb") == 1)
     n = F.nullif(F.when(a, F.col("nb")).otherwise(F.col("na")), F.lit(0))
     other = F.when(a, F.col("mb.node")).otherwise(F.col("ma.node"))
     same = F.struct(*[F.col(f"ma.{v}") for v in VALUES]) == F.struct(*[F.col(f"mb.{v}") for v in VALUES])
     own_values = [F.when(~two, F.col(c)).alias(c) for c in (*VALUES, "d")]
-    met = cold.filter(~two | a).select("node", "side", n.alias("n"), F.when(n == 1, other).alias("pick"), F.when(two, F.when(same, "MATCHED").otherwise("MISMATCHED")).alias("outcome"), *own_values)
-    none = rows.filter("ref is null").select("node", "side", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("pick"), F.lit(None).cast("string").alias("outcome"), *VALUES, "d")
-    return met.unionByName(none)
+    out = lambda met: met.filter(~two | a).select("node", "side", n.alias("n"), F.when(n == 1, other).alias("pick"), F.when(two, F.when(same, "MATCHED").otherwise("MISMATCHED")).alias("outcome"), *own_values)
+    cold = some if hot is None else some.join(F.broadcast(hot), "ref", "left_anti")
+    for part in divided(cold, ["ref"], DIVISIONS if total > per_task else 1):
+        yield out(part.withColumns({k: v.over(own) for k, v in counts.items()}))
+    if hot is not None:
+        many = some.join(F.broadcast(hot), "ref", "left_semi")
+        per = scratch.put(many.groupBy("ref").agg(*[v.alias(k) for k, v in counts.items()]), "per")
+        yield out(many.join(F.broadcast(per), "ref"))
+    yield rows.filter("ref is null").select("node", "side", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("pick"), F.lit(None).cast("string").alias("outcome"), *VALUES, "d")
 
 
-def by_second_rule(scratch: Scratch, rows: DataFrame, open_: DataFrame, days: int = 2, per_task: int = 1_000_000) -> DataFrame:
-    """open_ (node, side, ccy, amt, dir, d; stored) with n, the number of counterparts by amount and date among
+def by_second_rule(scratch: Scratch, rows: DataFrame, open_: DataFrame, days: int = 2, per_task: int = 1_000_000) -> Iterator[DataFrame]:
+    """In divisions, open_ (node, side, ccy, amt, dir, d; stored) with n, the number of counterparts by amount and date among
     rows (as above), and pick, the one of n = 1. Rows are counted per key and day; a key has at most a row a day, over which its days are summed up."""
     keys = ["ccy", "amt", "d"]
     whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
     of = lambda s: F.col("side") == s
     per = rows.filter(whole).groupBy(*keys).agg(F.count_if(of("A")).alias("na"), F.count_if(of("B")).alias("nb"), F.min(F.when(of("A"), F.col("rid"))).alias("ma"), F.min(F.when(of("B"), F.col("rid"))).alias("mb"))
     near = Window.partitionBy("ccy", "amt").orderBy(F.unix_date("d")).rangeBetween(-days, days)
-    seen = per.select(*keys, *[f("n" + s).over(near).alias("n" + s) for f, s in ((F.sum, "a"), (F.sum, "b"))], *[F.min("m" + s).over(near).alias("m" + s) for s in "ab"])
+    seen = scratch.put(per.select(*keys, *[f("n" + s).over(near).alias("n" + s) for f, s in ((F.sum, "a"), (F.sum, "b"))], *[F.min("m" + s).over(near).alias("m" + s) for s in "ab"]), "seen")
     other = lambda x, y: F.when(of("A"), F.col(y)).otherwise(F.col(x))
-    found = even_lookup(scratch, open_.filter(whole), seen, keys, per_task).withColumn("n", F.coalesce(other("na", "nb"), F.lit(0)))
-    cols = ["node", "side", "n", F.when(F.col("n") == 1, other("ma", "mb")).alias("pick"), *VALUES]
-    return found.select(*cols).unionByName(open_.filter(~whole).select("node", "side", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("pick"), *VALUES))
+    n = F.coalesce(other("na", "nb"), F.lit(0))
+    out = lambda found: found.select("node", "side", n.alias("n"), F.when(n == 1, other("ma", "mb")).alias("pick"), *VALUES)
+    rest = open_.filter(whole)
+    hot, total = hot_keys(scratch, rest, keys, per_task)
+    cold, parts = rest if hot is None else rest.join(F.broadcast(hot), keys, "left_anti"), DIVISIONS if total > per_task else 1
+    for mine, theirs in zip(divided(cold, keys, parts), divided(seen, keys, parts)):
+        yield out(mine.join(theirs, keys, "left"))
+    if hot is not None:
+        few = scratch.put(seen.join(F.broadcast(hot), keys, "left_semi"), "few")
+        yield out(rest.join(F.broadcast(few), keys))
+    yield open_.filter(~whole).select("node", "side", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("pick"), *VALUES)
 
 
 _KEYS = {BY_REFERENCE: ["ref"], BY_AMOUNT: ["ccy", "amt", "d"]}

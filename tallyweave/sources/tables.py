@@ -86,10 +86,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tallyweave/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return the table read back."""
+    def put(self, df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
+        """Write ``df`` and return the table read back. folder: a name for it that doesn't change."""
         self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
+        path = f"{self.root}/{folder or f'{self._n:03d}-{name}'}"
         with shuffles_removed(df):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -103,16 +103,17 @@ class Scratch:
         out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n"), *rest), name)
         return out, seen.get
 
-    def put_divisions(self, parts: Iterable[DataFrame], name: str = "t") -> tuple[DataFrame, int]:
-        """Write tables of one schema one after the other as one table, so that only one's shuffle files lie on
-        disk at a time; return it with its number of rows."""
+    def put_divisions(self, parts: Iterable[DataFrame], name: str = "t", **counts) -> tuple[DataFrame, dict[str, int]]:
+        """As :meth:`put_counted` of tables of one schema, written one after the other as one table, so that only
+        one's shuffle files lie on disk at a time. counts: sums and counts."""
         self._n += 1
-        path, total, schema = f"{self.root}/{self._n:03d}-{name}", 0, None
+        path, schema, rest = f"{self.root}/{self._n:03d}-{name}", None, [c.alias(k) for k, c in counts.items()]
+        total = dict.fromkeys(["n", *counts], 0)
         for df in parts:
             seen, schema = Observation(), df.schema
             with shuffles_removed(df):
-                df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", "zstd").parquet(path)
-            total += seen.get["n"]
+                df.observe(seen, F.count(F.lit(1)).alias("n"), *rest).write.mode("append").option("compression", "zstd").parquet(path)
+            total = {k: v + (seen.get[k] or 0) for k, v in total.items()}
         out = self.spark.read.schema(schema).parquet(path)
         out._tallyweave_path = path
         return out, total
@@ -166,10 +167,6 @@ def hot_keys(scratch: Scratch, rows: DataFrame, keys: list[str], per_task: int =
     return (hot if found["n"] else None), total
 
 
-def even_lookup(scratch: Scratch, rows: DataFrame, lookup: DataFrame, keys: list[str], per_task: int = 1_000_000) -> DataFrame:
-    """Left join of ``rows`` to ``lookup`` (unique on ``keys``); rows of hot keys are looked up where they are, without a shuffle."""
-    hot, _ = hot_keys(scratch, rows, keys, per_task)
-    if hot is None:
-        return rows.join(lookup, keys, "left")
-    few = scratch.put(lookup.join(F.broadcast(hot), keys, "left_semi"), "few")
-    return rows.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, "left").unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, "left"))
+def divided(df: DataFrame, keys: list[str], parts: int) -> list[DataFrame]:
+    """The rows of ``df`` by a hash of their keys."""
+    return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(*keys), F.lit(parts)) == i) for i in range(parts)]

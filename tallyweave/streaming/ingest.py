@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyweave.operators.late_events import Cutoffs, combine, merge_partials, partials
 from tallyweave.operators.matching import next_versions
 from tallyweave.operators.records import first_submissions
-from tallyweave.sources.tables import Scratch
+from tallyweave.sources.tables import DIVISIONS, WHOLE, Scratch, divided, shuffles_removed
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -24,9 +24,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over the parquet files of a folder, with the folder's schema."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream over the parquet files of a folder, with the folder's schema. files_per_batch: None for all that are there."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, parts: int = 16) -> None:
@@ -115,30 +116,40 @@ def version_decisions(stream: DataFrame, folder: str, checkpoint: str, decide, k
     Nothing is ever dropped as too late, and no decision is rewritten: a late record supersedes. The
     records are at ``folder``/records, the versions (a, b, outcome, version, old_a, old_b, supersedes)
     at ``folder``/versions, each divided by micro-batch, so that a repeated one replaces itself.
-    decide: DataFrame of records -> a, b, outcome.
+    decide: Scratch, DataFrame of records -> a, b, outcome. What it puts there is deleted when the outcome is stored.
     """
     spark = stream.sparkSession
     records, versions = f"{folder}/records", f"{folder}/versions"
 
     def write(batch: DataFrame, n: int) -> None:
-        fresh = first_submissions(batch, [key], order)
-        if _exists(spark, records):
-            fresh = fresh.join(spark.read.parquet(records).filter(F.col("batch_n") < n).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{records}/batch_n={n}")
-        now = decide(spark.read.parquet(records).filter(F.col("batch_n") <= n).drop("batch_n")).select("a", "b", "outcome")
-        scratch = Scratch(spark, "versions")
+        known = spark.read.parquet(records).filter(F.col("batch_n") < n).select(key) if _exists(spark, records) else None
+        parts = DIVISIONS if batch.count() > WHOLE else 1
+        before = [None] * parts if known is None else divided(known, [key], parts)
+        for i, (part, there) in enumerate(zip(divided(batch, [key], parts), before)):
+            fresh = first_submissions(part, [key], order)
+            fresh = fresh if there is None else fresh.join(there, key, "left_anti")
+            with shuffles_removed(fresh):
+                fresh.write.mode("append" if i else "overwrite").option("compression", "zstd").parquet(f"{records}/batch_n={n}")
+        scratch, own = Scratch(spark, "versions"), Scratch(spark, "decide")
+        now = decide(own, spark.read.parquet(records).filter(F.col("batch_n") <= n).drop("batch_n")).select("a", "b", "outcome")
         if _exists(spark, versions):
-            old = current_flags(spark.read.parquet(versions).filter(F.col("batch_n") < n))
+            old = current_flags(scratch, spark.read.parquet(versions).filter(F.col("batch_n") < n))
         else:
             old = spark.createDataFrame([], "a string, b string, outcome string, version int, current boolean")
-        next_versions(scratch, scratch.put(old, "old"), now).write.mode("overwrite").parquet(f"{versions}/batch_n={n}")
+        added = next_versions(scratch, old, now, made_in=own)
+        with shuffles_removed(added):
+            added.write.mode("overwrite").option("compression", "zstd").parquet(f"{versions}/batch_n={n}")
+        scratch.clear()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current_flags(versions: DataFrame) -> DataFrame:
+def current_flags(scratch: Scratch, versions: DataFrame) -> DataFrame:
     """a, b, outcome, version, current of stored versions: those that none supersedes by its scope and number are current."""
     scope = lambda a, b: F.concat_ws("|", F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
-    gone = versions.filter("version > 1").select(scope("old_a", "old_b").alias("k"), (F.col("version") - 1).alias("version"), F.lit(True).alias("gone")).distinct()
+    gone, seen = scratch.put_counted(versions.filter("version > 1").select(scope("old_a", "old_b").alias("k"), (F.col("version") - 1).alias("version"), F.lit(True).alias("gone")).distinct(), "gone")
+    cols = ["a", "b", "outcome", F.col("version").cast("int").alias("version")]
+    if not seen["n"]:
+        return versions.select(*cols, F.lit(True).alias("current"))
     rows = versions.withColumn("k", scope("a", "b")).join(gone, ["k", "version"], "left")
-    return rows.select("a", "b", "outcome", F.col("version").cast("int").alias("version"), F.col("gone").isNull().alias("current"))
+    return scratch.put(rows.select(*cols, F.col("gone").isNull().alias("current")), "old")

@@ -62,3 +62,15 @@ def test_steps_leave_no_shuffle_files(spark):
     one = scratch.put(matching.decide(scratch, a, b).select("a", "b", "outcome"))
     matching.next_versions(scratch, one.withColumns({"version": F.lit(1), "current": F.lit(True)}), one)
     assert shuffle_files(spark) <= before
+
+
+def test_stream_of_versions_keeps_records_once(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tallyweave"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    entry.queries()["stream_versions"](spark, "/root/testdata/sf0.001")
+    (own,) = set(os.listdir(root)) - before
+    assert own.startswith("versions-stream-") and sorted(os.listdir(f"{root}/{own}")) == ["checkpoint", "table"]
